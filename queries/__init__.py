@@ -6,7 +6,7 @@ import importlib
 
 from queries.base import ORACLES, QUERIES
 
-MODULES = ("planning",)
+MODULES = ("sources",)
 
 
 def load() -> tuple[dict, dict]:

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tilewright.functions.bind import let
+
 MAX_SIDE = 60
 
 
@@ -35,22 +37,25 @@ def ring_words(ring: Column, ox: Column, oy: Column, cell: Column, nx: int, ny:
 
     Per grid row the crossings of the centre line are sorted, and consecutive pairs become bit spans.
     """
-    edges = F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1),
-                       lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))
+    edges = let(ring, lambda q: F.zip_with(
+        F.slice(q, 1, F.size(q) - 1), F.slice(q, 2, F.size(q) - 1),
+        lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by"))))
+
+    def spans(starts):
+        pairs = F.transform(F.sequence(F.lit(1), (F.size(starts) / 2).cast("int")), lambda k: span(
+            F.greatest(F.element_at(starts, (2 * k - 1).cast("int")), F.lit(0)),
+            F.least(F.element_at(starts, (2 * k).cast("int")) - 1, F.lit(nx - 1))))
+        return F.when(F.size(starts) < 2, _long(0)).otherwise(F.aggregate(pairs, _long(0), lambda a, b: a.bitwiseOR(b)))
 
-    def row(r):
+    def row(r, es):
         yc = oy + (r + 0.5) * cell
-        hits = F.filter(edges, lambda e: (e["ay"] <= yc) != (e["by"] <= yc))
+        hits = F.filter(es, lambda e: (e["ay"] <= yc) != (e["by"] <= yc))
         # first cell whose centre lies at or right of each crossing
         starts = F.sort_array(F.transform(hits, lambda e: F.ceil(
             (e["ax"] + (yc - e["ay"]) * (e["bx"] - e["ax"]) / (e["by"] - e["ay"]) - ox) / cell - 0.5).cast("int")))
-        pairs = F.transform(F.sequence(F.lit(1), F.size(starts) / 2), lambda k: span(
-            F.greatest(F.element_at(starts, (2 * k - 1).cast("int")), F.lit(0)),
-            F.least(F.element_at(starts, (2 * k).cast("int")) - 1, F.lit(nx - 1))))
-        return F.when(F.size(starts) < 2, _long(0)).otherwise(
-            F.aggregate(pairs, _long(0), lambda a, b: a.bitwiseOR(b)))
+        return let(starts, spans)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(ny - 1)), row)
+    return let(edges, lambda es: F.transform(F.sequence(F.lit(0), F.lit(ny - 1)), lambda r: row(r, es)))
 
 
 def cells(words: Column) -> Column:

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, functions as F
 
+from tilewright.functions.bind import let
 from tilewright.vocab import EQUAL_AREA_LAT, WGS84_A, WGS84_E, WGS84_F
 
 _TS = math.radians(EQUAL_AREA_LAT)
@@ -39,7 +40,7 @@ def _edges(ring: Column) -> Column:
 
 def signed_area(ring: Column) -> Column:
     """Shoelace sum of a closed ring, positive when counter-clockwise."""
-    return F.aggregate(_edges(ring), F.lit(0.0), lambda acc, e: acc + e["ax"] * e["by"] - e["bx"] * e["ay"]) / 2
+    return let(ring, lambda q: F.aggregate(_edges(q), F.lit(0.0), lambda acc, e: acc + e["ax"] * e["by"] - e["bx"] * e["ay"]) / 2)
 
 
 def ring_area(ring: Column) -> Column:
@@ -52,6 +53,10 @@ def ring_km2(ring: Column) -> Column:
 
 def centroid(ring: Column) -> Column:
     """Area centroid of a closed ring; the mean of its vertices when it has no area."""
+    return let(ring, _centroid)
+
+
+def _centroid(ring: Column) -> Column:
     parts = F.aggregate(
         _edges(ring), F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y")),
         lambda acc, e: F.struct(
@@ -59,8 +64,8 @@ def centroid(ring: Column) -> Column:
             (acc["x"] + (e["ax"] + e["bx"]) * (e["ax"] * e["by"] - e["bx"] * e["ay"])).alias("x"),
             (acc["y"] + (e["ay"] + e["by"]) * (e["ax"] * e["by"] - e["bx"] * e["ay"])).alias("y")))
     mean = lambda k: F.aggregate(ring, F.lit(0.0), lambda acc, p: acc + p[k]) / F.size(ring)
-    return F.when(parts["a"] == 0, F.struct(mean("x").alias("x"), mean("y").alias("y"))).otherwise(
-        F.struct((parts["x"] / (3 * parts["a"])).alias("x"), (parts["y"] / (3 * parts["a"])).alias("y")))
+    return let(parts, lambda p: F.when(p["a"] == 0, F.struct(mean("x").alias("x"), mean("y").alias("y"))).otherwise(
+        F.struct((p["x"] / (3 * p["a"])).alias("x"), (p["y"] / (3 * p["a"])).alias("y"))))
 
 
 def utm_epsg(lon: Column, lat: Column) -> Column:
@@ -87,13 +92,15 @@ def utm_xy(lon: Column, lat: Column, epsg: Column) -> Column:
     zone = F.pmod(epsg, F.lit(100))
     lam = F.radians(lon - (zone * 6 - 183))
     s = F.sin(F.radians(lat))
-    t = F.sinh(F.atanh(s) - F.atanh(s * WGS84_E) * WGS84_E)
-    xi = F.atan2(t, F.cos(lam))
-    eta = F.atanh(F.sin(lam) / F.sqrt(t * t + 1))
-    dx, dy = eta, xi
-    for j, a in enumerate(_ALPHA, 1):
-        dx = dx + F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j)) * a
-        dy = dy + F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j)) * a
+    conformal = F.sinh(F.atanh(s) - F.atanh(s * WGS84_E) * WGS84_E)
     south = F.when(F.floor(epsg / 100) == 327, F.lit(10_000_000.0)).otherwise(F.lit(0.0))
-    return F.struct((dx * (_UTM_SCALE * _RECTIFYING) + 500_000.0).alias("x"),
-                    (dy * (_UTM_SCALE * _RECTIFYING) + south).alias("y"))
+
+    def series(g):
+        dx, dy = g["eta"], g["xi"]
+        for j, a in enumerate(_ALPHA, 1):
+            dx = dx + F.cos(g["xi"] * (2 * j)) * F.sinh(g["eta"] * (2 * j)) * a
+            dy = dy + F.sin(g["xi"] * (2 * j)) * F.cosh(g["eta"] * (2 * j)) * a
+        return F.struct((dx * (_UTM_SCALE * _RECTIFYING) + 500_000.0).alias("x"), (dy * (_UTM_SCALE * _RECTIFYING) + south).alias("y"))
+
+    sphere = let(conformal, lambda t: F.struct(F.atan2(t, F.cos(lam)).alias("xi"), F.atanh(F.sin(lam) / F.sqrt(t * t + 1)).alias("eta")))
+    return let(sphere, series)

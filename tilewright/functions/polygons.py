@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from tilewright.functions.bind import let
+
+_RING = "array<struct<x:double,y:double>>"
 TOLERANCE = 1e-9
 
 
@@ -41,26 +44,33 @@ def _point(x: Column, y: Column) -> Column:
 
 
 def clip_ring(ring: Column, box: Column) -> Column:
-    """Sutherland-Hodgman: the closed ring cut by a box, one half-plane after another; empty when nothing is left."""
+    """Sutherland-Hodgman: the closed ring cut by a box, folded over its four half-planes; empty when nothing is left."""
+
+    def plane(bound: Column, is_x: bool, above: bool) -> Column:
+        return F.struct(bound.cast("double").alias("bound"), F.lit(is_x).alias("is_x"), F.lit(above).alias("above"))
+
+    def along(p, h):
+        return F.when(h["is_x"], p["x"]).otherwise(p["y"])
 
-    def half_plane(r: Column, axis: str, bound: Column, keep_above: bool) -> Column:
-        other = "y" if axis == "x" else "x"
-        inside = lambda p: (p[axis] >= bound) if keep_above else (p[axis] <= bound)
+    def inside(p, h):
+        return F.when(h["above"], along(p, h) >= h["bound"]).otherwise(along(p, h) <= h["bound"])
 
-        def cut(a, b):
-            o = a[other] + (b[other] - a[other]) * (bound - a[axis]) / (b[axis] - a[axis])
-            return _point(bound, o) if axis == "x" else _point(o, bound)
+    def cut(a, b, h):
+        t = (h["bound"] - along(a, h)) / (along(b, h) - along(a, h))
+        return let(t, lambda k: _point(F.when(h["is_x"], h["bound"]).otherwise(a["x"] + (b["x"] - a["x"]) * k),
+                                       F.when(h["is_x"], a["y"] + (b["y"] - a["y"]) * k).otherwise(h["bound"])))
 
+    def step(r, h):
         pairs = F.zip_with(F.slice(r, 1, F.size(r) - 1), F.slice(r, 2, F.size(r) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
         kept = F.flatten(F.transform(pairs, lambda e: F.when(
-            inside(e["b"]) & ~inside(e["a"]), F.array(cut(e["a"], e["b"]), e["b"])).when(
-            inside(e["b"]), F.array(e["b"])).when(
-            inside(e["a"]), F.array(cut(e["a"], e["b"]))).otherwise(F.array().cast("array<struct<x:double,y:double>>"))))
-        return F.when(F.size(kept) > 0, F.concat(F.array(F.element_at(kept, -1)), kept)).otherwise(kept)
+            inside(e["b"], h) & ~inside(e["a"], h), F.array(cut(e["a"], e["b"], h), e["b"])).when(
+            inside(e["b"], h), F.array(e["b"])).when(
+            inside(e["a"], h), F.array(cut(e["a"], e["b"], h))).otherwise(F.array().cast(_RING))))
+        closed = let(kept, lambda k: F.when(F.size(k) > 0, F.concat(F.slice(k, -1, 1), k)).otherwise(k))
+        return F.when(F.size(r) > 1, closed).otherwise(r)
 
-    for axis, bound, above in (("x", box["minx"], True), ("x", box["maxx"], False), ("y", box["miny"], True), ("y", box["maxy"], False)):
-        ring = half_plane(ring, axis, bound, above)
-    return ring
+    planes = F.array(plane(box["minx"], True, True), plane(box["maxx"], True, False), plane(box["miny"], False, True), plane(box["maxy"], False, False))
+    return F.aggregate(planes, ring.cast(_RING), step)
 
 
 def clip_line(line: Column, box: Column) -> Column:
@@ -70,13 +80,14 @@ def clip_line(line: Column, box: Column) -> Column:
 
     def limits(s):
         dx, dy = s["bx"] - s["ax"], s["by"] - s["ay"]
-        t0, t1, ok = F.lit(0.0), F.lit(1.0), F.lit(True)
-        for p, q in ((-dx, s["ax"] - box["minx"]), (dx, box["maxx"] - s["ax"]), (-dy, s["ay"] - box["miny"]), (dy, box["maxy"] - s["ay"])):
-            ok = ok & ~((p == 0) & (q < 0))
-            t0 = F.when(p < 0, F.greatest(t0, q / p)).otherwise(t0)
-            t1 = F.when(p > 0, F.least(t1, q / p)).otherwise(t1)
-        return F.struct((s["ax"] + t0 * dx).alias("ax"), (s["ay"] + t0 * dy).alias("ay"), (s["ax"] + t1 * dx).alias("bx"),
-                        (s["ay"] + t1 * dy).alias("by"), (ok & (t0 < t1)).alias("keep"))
+        side = lambda p, q: F.struct(p.alias("p"), q.alias("q"))
+        sides = F.array(side(-dx, s["ax"] - box["minx"]), side(dx, box["maxx"] - s["ax"]), side(-dy, s["ay"] - box["miny"]), side(dy, box["maxy"] - s["ay"]))
+        enter = F.aggregate(sides, F.lit(0.0), lambda t, e: F.when(e["p"] < 0, F.greatest(t, e["q"] / e["p"])).otherwise(t))
+        leave = F.aggregate(sides, F.lit(1.0), lambda t, e: F.when(e["p"] > 0, F.least(t, e["q"] / e["p"])).otherwise(t))
+        outside = F.exists(sides, lambda e: (e["p"] == 0) & (e["q"] < 0))
+        return let(F.struct(enter.alias("t0"), leave.alias("t1")), lambda t: F.struct(
+            (s["ax"] + t["t0"] * dx).alias("ax"), (s["ay"] + t["t0"] * dy).alias("ay"), (s["ax"] + t["t1"] * dx).alias("bx"),
+            (s["ay"] + t["t1"] * dy).alias("by"), (~outside & (t["t0"] < t["t1"])).alias("keep")))
 
     return F.filter(F.transform(segs, limits), lambda s: s["keep"])
 

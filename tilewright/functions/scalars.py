@@ -14,7 +14,8 @@ def _ascii_part(c: str) -> str:
 
 
 # accented Latin letter -> base letter, by compatibility decomposition
-_FOLD = {chr(c): _ascii_part(chr(c)) for c in range(0xC0, 0x1F00) if len(_ascii_part(chr(c))) == 1}
+_FOLD = {chr(c): _ascii_part(chr(c)) for c in range(0x80, 0x10000)
+         if not 0xD800 <= c < 0xE000 and len(_ascii_part(chr(c))) == 1}
 
 
 def epsg_code(numeric: Column, code: Column) -> Column:
