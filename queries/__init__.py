@@ -6,7 +6,7 @@ import importlib
 
 from queries.base import ORACLES, QUERIES
 
-MODULES = ("sources",)
+MODULES = ("library",)
 
 
 def load() -> tuple[dict, dict]:

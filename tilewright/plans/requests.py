@@ -74,19 +74,19 @@ def keep_gap_windows(complement_windows: DataFrame, gap_windows: DataFrame) -> D
     return complement_windows.join(gap_windows.where("verdict = 'out-of-range'").select("request_id", "plan_pos", "label"), ["request_id", "plan_pos", "label"], "left_semi")
 
 
-def _first_by_label(bad: DataFrame, entry: Column, first: int) -> DataFrame:
-    """First windows by label and their number.  A plan has one window per month or year of its period."""
+def _first_windows(bad: DataFrame, entry: Column, first: int) -> DataFrame:
+    """First windows by date and their number.  A plan has one window per month or year of its period."""
     return bad.groupBy("plan_id", "source_id").agg(F.slice(F.array_sort(F.collect_list(entry)), 1, first).alias("top"), F.count("*").alias("n"))
 
 
 def attention(windows: DataFrame, filled: DataFrame, first: int = 3) -> DataFrame:
     """What a user should look at per plan: its first bad windows, how many more there are, and what stays uncovered.
 
-    windows: plan_id, source_id, label, verdict, verdict_text; filled: plan_id, label of gap windows that a complement serves.
+    windows: plan_id, source_id, label, w_start, verdict, verdict_text; filled: plan_id, label of gap windows that a complement serves.
     """
     bad = windows.where(F.col("verdict").isin("infeasible", "incomplete", "feasible-composite"))
-    entry = F.struct("label", "verdict", "verdict_text")
-    top = _first_by_label(bad, entry, first)
+    entry = F.struct("w_start", "label", "verdict", "verdict_text")
+    top = _first_windows(bad, entry, first)
     shown = top.select("plan_id", "source_id", F.explode("top").alias("t")).select(
         "plan_id", "source_id", F.replace("t.verdict", F.lit("feasible-"), F.lit("")).alias("level"), F.concat_ws(": ", "t.label", "t.verdict_text").alias("text"))
     more = top.where(F.col("n") > first).select("plan_id", "source_id", F.lit("incomplete").alias("level"), F.concat(
