@@ -6,7 +6,7 @@ import importlib
 
 from queries.base import ORACLES, QUERIES
 
-MODULES = ("library",)
+MODULES = ("planning", "sources", "scalars", "resolving", "library", "text", "rasters", "reports", "streams")
 
 
 def load() -> tuple[dict, dict]:
