@@ -9,6 +9,7 @@ from tilewright import vocab as V
 from tilewright.functions import geodesy as G, polygons as P, scalars as S
 from tilewright.operators import windows as D
 from tilewright.plans import layers as L
+from tilewright.session import spread
 from tilewright.sources import catalogue as C, registry as R, vectors as X
 from tilewright.sources.registry_rows import RULES, SOURCES
 
@@ -84,7 +85,7 @@ _FEATURE_SOURCES = ("sentinel-2-l2a", "landsat-c2-l2", "hls-l30", "opera-dswx-hl
 
 def _feature_json(spark, sf_dir):
     """Catalogue features as JSON text, with the differences between providers that normalisation absorbs."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"))
     k = F.col("event_id")
     src = F.element_at(F.lit(list(_FEATURE_SOURCES)), (k % 4 + 1).cast("int"))
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -279,7 +280,7 @@ def _rings(spark, sf_dir):
     k = F.col("c_custkey")
     cx, cy, r = (k % 160 - 80).cast("double"), (k % 100 - 50).cast("double"), (k % 9 + 2).cast("double")
     steps = ((1, 0), (0.5, 1), (-0.5, 1), (-1, 0), (-0.5, -1), (0.5, -1), (1, 0))
-    return table(spark, sf_dir, "customer").select(k.alias("area_id"), F.array(*[F.struct((cx + r * a).alias("x"), (cy + r * b).alias("y")) for a, b in steps]).alias("ring"))
+    return spread(table(spark, sf_dir, "customer")).select(k.alias("area_id"), F.array(*[F.struct((cx + r * a).alias("x"), (cy + r * b).alias("y")) for a, b in steps]).alias("ring"))
 
 
 @query("g8_points_in_polygons", f"""WITH {_ELEMENT_SQL}, pt AS (SELECT DISTINCT CASE WHEN way THEN 'way/' ELSE 'node/' END || CAST(k AS VARCHAR) AS osm_id, CAST((k * 5) % 170 AS DOUBLE) + 0.37 - 80 AS x, CAST((k * 3) % 90 AS DOUBLE) + 0.4 - 50 AS y FROM el WHERE (NOT way AND k % 3 <> 0) OR k % 3 = 0),
@@ -288,7 +289,7 @@ hit AS (SELECT area_id, osm_id FROM pg JOIN pt ON abs(x - cx) <= r AND abs(y - c
 SELECT area_id, CAST(count(*) AS BIGINT) AS n, min(osm_id) AS first_id FROM hit GROUP BY 1""")
 def points_in_polygons(spark, sf_dir):
     p = X.map_elements(_elements(spark, sf_dir), "point").select("osm_id", (F.col("x") + 0.37 - 80).alias("x"), (F.col("y") + 0.4 - 50).alias("y")).distinct()
-    return X.clip_points(p, _rings(spark, sf_dir), 8.0).groupBy("area_id").agg(F.count("*").alias("n"), F.min("osm_id").alias("first_id"))
+    return X.clip_points(p, _rings(spark, sf_dir), 1.0).groupBy("area_id").agg(F.count("*").alias("n"), F.min("osm_id").alias("first_id"))
 
 
 @query("s8_g9_g11_polygons_clipped", """WITH pg AS (SELECT c_custkey AS area_id, CAST(c_custkey % 160 - 80 AS DOUBLE) AS cx, CAST(c_custkey % 100 - 50 AS DOUBLE) AS cy, CAST(c_custkey % 9 + 2 AS DOUBLE) AS r FROM customer),

@@ -28,8 +28,8 @@ def span(lo: Column, hi: Column) -> Column:
 def box_words(x0: Column, y0: Column, x1: Column, y1: Column, nx: int, ny: int) -> Column:
     """Words of a rectangle given by its first and last cell on each axis; parts outside the frame are clipped."""
     bits = span(F.greatest(x0, F.lit(0)), F.least(x1, F.lit(nx - 1)))
-    return F.transform(F.sequence(F.lit(0), F.lit(ny - 1)),
-                       lambda r: F.when((r >= y0) & (r <= y1), bits).otherwise(_long(0)))
+    row = lambda r, b: F.when((y0 <= r) & (y1 >= r), b).otherwise(_long(0))
+    return let(bits, lambda b: F.array(*[row(F.lit(r), b) for r in range(ny)]))
 
 
 def ring_words(ring: Column, ox: Column, oy: Column, cell: Column, nx: int, ny: int) -> Column:

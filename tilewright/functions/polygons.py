@@ -30,15 +30,31 @@ def box_area(a: Column) -> Column:
     return (a["maxx"] - a["minx"]) * (a["maxy"] - a["miny"])
 
 
-def point_in_ring(x: Column, y: Column, ring: Column) -> Column:
+def ring_edges(ring: Column) -> Column:
+    return F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1),
+                      lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))
+
+
+def edge_meets_box(e: Column, lo_x: Column, lo_y: Column, hi_x: Column, hi_y: Column) -> Column:
+    """Boxes overlap and the corners do not all lie on one side of the edge's line."""
+    dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
+    turn = lambda x, y: dx * (y - e["ay"]) - dy * (x - e["ax"])
+    corners = [turn(lo_x, lo_y), turn(hi_x, lo_y), turn(hi_x, hi_y), turn(lo_x, hi_y)]
+    return ((F.least(e["ax"], e["bx"]) <= hi_x) & (F.greatest(e["ax"], e["bx"]) >= lo_x) & (F.least(e["ay"], e["by"]) <= hi_y)
+            & (F.greatest(e["ay"], e["by"]) >= lo_y) & (F.least(*corners) <= 0) & (F.greatest(*corners) >= 0))
+
+
+def point_in_edges(x: Column, y: Column, edges: Column) -> Column:
     """Even-odd rule by counting the edges crossed by a ray to the right."""
-    edges = F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1),
-                       lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))
     crossings = F.filter(edges, lambda e: ((e["ay"] > y) != (e["by"] > y))
                          & (x < (e["bx"] - e["ax"]) * (y - e["ay"]) / (e["by"] - e["ay"]) + e["ax"]))
     return F.size(crossings) % 2 == 1
 
 
+def point_in_ring(x: Column, y: Column, ring: Column) -> Column:
+    return point_in_edges(x, y, ring_edges(ring))
+
+
 def _point(x: Column, y: Column) -> Column:
     return F.struct(x.alias("x"), y.alias("y"))
 

@@ -18,7 +18,9 @@ def keyword_rules(text: Column, rules: list[dict] = RULES) -> Column:
     A rule's patterns form one literal alternation, which Spark compiles once; the rules are configuration, so no join
     between questions and rules is needed.  Case and word boundaries follow Unicode.
     """
-    hits = [F.when(text.rlike("(?iU)" + "|".join(f"(?:{k})" for k in r["keywords"])), F.lit(r["id"])) for r in rules]
+    # patterns are lower case; the long s is the one letter that folds to an ASCII letter but has another lower case
+    folded = F.translate(F.lower(text), "ſ", "s")
+    hits = [F.when(folded.rlike("(?U)" + "|".join(f"(?:{k})" for k in r["keywords"])), F.lit(r["id"])) for r in rules]
     return F.array_compact(F.array(*hits))
 
 

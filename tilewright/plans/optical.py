@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tilewright import vocab as V
 from tilewright.functions import bitgrid as B, verdicts as E
 from tilewright.operators.windows import join_windows
+from tilewright.session import write_stage
 
 _SALTS = 32
 _EPS = 1e-9  # guard band around the stop threshold: block products may differ from the running product in the last digits
@@ -133,6 +134,7 @@ def plan_optical(items: DataFrame, area: DataFrame, windows: DataFrame, ny: int,
     """items: aoi_id, item_id, tile, d, cloud_cover, words; area: aoi_id, words; windows: aoi_id, label, w_start, w_end.
 
     held: item_id of scenes already in the library, used only between equally clear scenes.
+    Tiles and candidates feed several results each, so both are written once to the shared folder and read back.
     """
     scenes = in_area(items.where(F.col("tile").isNotNull()), area)
     if held is None:
@@ -140,9 +142,10 @@ def plan_optical(items: DataFrame, area: DataFrame, windows: DataFrame, ny: int,
     else:
         marks = held.select("item_id").distinct().withColumn("_held", F.lit(True))
         scenes = scenes.join(marks, "item_id", "left").withColumn("held", F.coalesce("_held", F.lit(False))).drop("_held")
-    claimed = claim(tile_extents(scenes, ny), area)
+    claimed = write_stage(claim(tile_extents(scenes, ny), area), "tiles")
     tiles = claimed.where("kept")
-    cand = candidates(scenes, tiles, windows)
+    cand = write_stage(candidates(scenes, tiles, windows).select(
+        "aoi_id", "label", "tile", "item_id", "d", "cloud_cover", "cloud", "coverage", "clear", "bucket", "held", "words"), "candidates")
     best = best_per_tile(cand)
     comp = composites(cand, target)
     grid = windows.select("aoi_id", "label").distinct().join(tiles.select("aoi_id", "tile", "exclusive_cells", "area_cells"), "aoi_id")

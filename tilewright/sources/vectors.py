@@ -41,17 +41,33 @@ def map_elements(elements: DataFrame, geometry: str) -> DataFrame:
     return ways.select(F.col("id").cast("string").alias("osm_id"), tags, line.alias("line"))
 
 
-def clip_points(points: DataFrame, areas: DataFrame, cell: float) -> DataFrame:
-    """Points inside areas.  Points and area boxes share a coarse grid, so the join is on (gx, gy); the ring test is residual.
+def area_squares(areas: DataFrame, cell: float) -> DataFrame:
+    """Grid squares that an area touches: area_id, gx, gy, and `edges` of the ring where the square is not wholly inside.
 
-    areas: area_id, ring.
+    A square that no edge crosses is wholly inside or outside by its centre; outside ones are left out.
     """
     xs, ys = F.transform("ring", lambda c: c["x"]), F.transform("ring", lambda c: c["y"])
     g = lambda v: F.floor(v / cell).cast("int")
-    spread = (areas.withColumn("_gx", F.explode(F.sequence(g(F.array_min(xs)), g(F.array_max(xs)))))
-              .withColumn("_gy", F.explode(F.sequence(g(F.array_min(ys)), g(F.array_max(ys))))))
-    placed = points.withColumn("_gx", g(F.col("x"))).withColumn("_gy", g(F.col("y")))
-    return placed.join(spread, ["_gx", "_gy"]).where(P.point_in_ring(F.col("x"), F.col("y"), F.col("ring"))).drop("_gx", "_gy", "ring")
+    spread = (areas.withColumn("gx", F.explode(F.sequence(g(F.array_min(xs)), g(F.array_max(xs)))))
+              .withColumn("gy", F.explode(F.sequence(g(F.array_min(ys)), g(F.array_max(ys))))))
+    lo_x, lo_y = F.col("gx") * F.lit(cell) - P.TOLERANCE, F.col("gy") * F.lit(cell) - P.TOLERANCE
+    hi_x, hi_y = lo_x + (cell + 2 * P.TOLERANCE), lo_y + (cell + 2 * P.TOLERANCE)
+    with_edges = spread.select("area_id", "gx", "gy", P.ring_edges(F.col("ring")).alias("edges"), lo_x.alias("lo_x"), lo_y.alias("lo_y"), hi_x.alias("hi_x"), hi_y.alias("hi_y"))
+    crossed = F.exists("edges", lambda e: P.edge_meets_box(e, F.col("lo_x"), F.col("lo_y"), F.col("hi_x"), F.col("hi_y")))
+    marked = with_edges.withColumn("crossed", crossed).withColumn(
+        "inside", P.point_in_edges((F.col("gx") + 0.5) * cell, (F.col("gy") + 0.5) * cell, F.col("edges")))
+    return marked.where("crossed OR inside").select("area_id", "gx", "gy", F.when(F.col("crossed"), F.col("edges")).alias("edges"))
+
+
+def clip_points(points: DataFrame, areas: DataFrame, cell: float) -> DataFrame:
+    """Points inside areas, by an equi-join on grid squares; only squares on an area's edge need the ring test.
+
+    areas: area_id, ring.
+    """
+    g = lambda v: F.floor(F.col(v) / cell).cast("int")
+    placed = points.withColumn("gx", g("x")).withColumn("gy", g("y"))
+    inside = F.col("edges").isNull() | P.point_in_edges(F.col("x"), F.col("y"), F.col("edges"))
+    return placed.join(area_squares(areas, cell), ["gx", "gy"]).where(inside).drop("gx", "gy", "edges")
 
 
 def clip_polygons(features: DataFrame, box: Column, ring: str = "ring") -> DataFrame:
