@@ -73,6 +73,8 @@ def test_composite_equals_the_running_product(spark):
         clouds = [rng.choice([100.0, 99.99, 97.0, 96.96, 80.0, 50.0, 60.0, 20.0, 20.04]) if tile % 3 else rng.choice([100.0, 99.9, 99.5]) for _ in range(400)]
         if tile == 1:
             clouds = [50.0, 60.0] + [97.0] * 5   # 0.5 * 0.4 exceeds 1 - 0.8 by one unit in the last place
+        if tile == 2:
+            clouds = [50.0, 59.9] + [99.97] * 40 + [100.0] * 40   # the target is reached among hopeless scenes
         cand = []
         for i, c in enumerate(clouds):
             item, d = f"{tile}-{i:03d}", day("2020-03-01") + dt.timedelta(days=i % 31)

@@ -5,8 +5,8 @@ can combine on the map side, so one tile, window or area holding a large share o
 
 * tiles: union of footprints is `bit_or`, quality is an average;
 * ranking: the best scene is a `min` over a struct, not a sort of the group;
-* composites: scenes are first counted per thousandth of clear fraction (at most 1001 rows per window and tile); only
-  the scenes that can still matter are then ordered row by row.
+* composites: scenes are first summed per thousandth of clear fraction; only the scenes that can still matter are then
+  ordered row by row.
 """
 
 from __future__ import annotations
@@ -97,36 +97,39 @@ def best_per_tile(cand: DataFrame) -> DataFrame:
 def composites(cand: DataFrame, target: float = V.CLEAR_TARGET) -> DataFrame:
     """Scenes added best-first while the share still unseen, the product of (1 - clear) so far, exceeds 1 - target.
 
-    The product over whole thousandths of clear fraction says which scenes are surely in, surely out, or at the border;
-    border scenes are cut to the number that can still be needed before they are ordered.  What remains to be ordered per
-    (window, tile) is bounded by the target, however many scenes the group holds.
+    Scenes are summed per block: a thousandth of clear fraction, and below half a thousandth a tenth of a percent of cloud,
+    which is the order of ranking there.  The product over blocks says which scenes are surely in, surely out, or in the
+    block at the border.  The border block is cut to the scenes that can still be needed, in slices, before it is ordered;
+    what one task orders is thus bounded by the target, however many scenes a tile and window hold.
     """
     stop = 1 - target
     keys = ["aoi_id", "label", "tile"]
-    order = W.partitionBy(*keys).orderBy(F.col("bucket").desc())
-    blocks = (cand.groupBy(*keys, "bucket").agg(F.count("*").alias("n"), F.product(1 - F.col("clear")).alias("factor"))
+    block = [*keys, "bucket", "sub"]
+    sub = F.when(F.col("bucket") > 0, 0).otherwise(F.when(F.col("held"), 0).otherwise(100_000) + F.floor(F.col("cloud") * 10).cast("int"))
+    cand = cand.withColumn("sub", sub)
+    order = W.partitionBy(*keys).orderBy(F.col("bucket").desc(), "sub")
+    blocks = (cand.groupBy(*block).agg(F.count("*").alias("n"), F.product(1 - F.col("clear")).alias("factor"), F.min("clear").alias("least"))
               .withColumn("before", F.coalesce(F.product("factor").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(1.0)))
-              .withColumn("after", F.col("before") * F.col("factor"))
               .where(F.col("before") > stop - _EPS)
-              .withColumn("border", F.col("after") <= stop + _EPS))
-    # least clear fraction of a block bounds how many of its scenes can be needed; block 0 has no such bound
-    floor_clear = (F.col("bucket") - 0.5001) / 1000
-    need = F.when((F.col("bucket") > 0) & F.col("border"),
-                  F.ceil(F.log(F.lit(stop - _EPS) / F.col("before")) / F.log(1 - floor_clear)) + 2 if stop > _EPS else F.col("n")).otherwise(F.col("n"))
-    blocks = blocks.withColumn("need", F.greatest(need, F.lit(1)))
-    live = cand.join(blocks.select(*keys, "bucket", "border", "need", "before"), [*keys, "bucket"])
-
-    slice_order = W.partitionBy(*keys, "bucket", "_salt").orderBy(*_rank_key())
+              .withColumn("border", F.col("before") * F.col("factor") <= stop + _EPS))
+    # a full-clear or hopeless scene has no logarithm to bound by; its block is taken whole
+    bounded = F.col("border") & (F.col("least") > 0) & (F.col("least") < 1) & F.lit(stop > _EPS)
+    need = F.when(bounded, F.ceil(F.log(F.lit(max(stop - _EPS, _EPS)) / F.col("before")) / F.log(1 - F.col("least"))) + 2).otherwise(F.col("n"))
+    live = cand.join(blocks.select(*block, "border", F.greatest(need, F.lit(1)).alias("need"), "before"), block)
+
+    slice_order = W.partitionBy(*block, "_salt").orderBy(*_rank_key())
     border = (live.where("border").withColumn("_salt", F.pmod(F.xxhash64("item_id"), F.lit(_SALTS)))
               .withColumn("_rn", F.row_number().over(slice_order)).where("_rn <= need").drop("_salt", "_rn"))
-    sure = live.where("NOT border AND bucket > 0")
-    tail = live.where("NOT border AND bucket = 0")  # never reaches the target: every scene is used, order does not matter
-
-    running = W.partitionBy(*keys).orderBy(*_rank_key())
-    ordered = (sure.unionByName(border)
-               .withColumn("remaining", F.coalesce(F.product(1 - F.col("clear")).over(running.rowsBetween(W.unboundedPreceding, -1)), F.lit(1.0)))
-               .where(F.col("remaining") > stop))
-    return ordered.unionByName(tail.withColumn("remaining", F.col("before"))).drop("border", "need", "before")
+    tail = live.where("NOT border AND bucket = 0").withColumn("remaining", F.col("before"))
+
+    def running(rows: DataFrame, partition: list[str], start) -> DataFrame:
+        seen = F.product(1 - F.col("clear")).over(W.partitionBy(*partition).orderBy(*_rank_key()).rowsBetween(W.unboundedPreceding, -1))
+        return rows.withColumn("remaining", start * F.coalesce(seen, F.lit(1.0))).where(F.col("remaining") > stop)
+
+    # down to half a thousandth the product runs scene by scene from the first; below, it starts from the blocks before
+    upper = running(live.where("NOT border AND bucket > 0").unionByName(border.where("bucket > 0")), keys, F.lit(1.0))
+    lower = running(border.where("bucket = 0"), block, F.col("before"))
+    return upper.unionByName(lower).unionByName(tail).drop("sub", "border", "need", "before")
 
 
 def plan_optical(items: DataFrame, area: DataFrame, windows: DataFrame, ny: int, held: DataFrame | None = None,
