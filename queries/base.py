@@ -51,15 +51,15 @@ def footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.withColumn("words", B.box_words(F.col("x0"), F.col("y0"), F.col("x0") + 6, F.col("y0") + 6, SIDE, SIDE))
 
 
-def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+def areas(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """One plan per source, each over the whole square."""
-    src = items(spark, sf_dir).select("aoi_id").distinct()
+    src = (items(spark, sf_dir) if rows is None else rows).select("aoi_id").distinct()
     return src.withColumn("words", B.box_words(F.lit(0), F.lit(0), F.lit(SIDE - 1), F.lit(SIDE - 1), SIDE, SIDE))
 
 
-def months(spark: SparkSession, sf_dir: str) -> DataFrame:
+def months(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """Monthly windows over the dates present, per source."""
-    span = items(spark, sf_dir).groupBy("aoi_id").agg(F.min("d").alias("s"), F.max("d").alias("e"))
+    span = (items(spark, sf_dir) if rows is None else rows).groupBy("aoi_id").agg(F.min("d").alias("s"), F.max("d").alias("e"))
     return span.select("aoi_id", F.inline(D.monthly_array(F.col("s"), F.col("e"))))
 
 

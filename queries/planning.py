@@ -8,10 +8,12 @@ from queries.base import CELLS_SQL, ITEMS_SQL, OPTICAL_SQL, SIDE, WINDOWS_SQL, a
 from tilewright.functions import bitgrid as B
 from tilewright.operators import windows as D
 from tilewright.plans import optical, products, sar
+from tilewright.session import write_stage
 
 
 def _plan(spark, sf_dir):
-    return optical.plan_optical(footprints(spark, sf_dir), areas(spark, sf_dir), months(spark, sf_dir), SIDE)
+    f = write_stage(footprints(spark, sf_dir).select("aoi_id", "item_id", "tile", "d", "cloud_cover", "words"), "footprints")
+    return optical.plan_optical(f, areas(spark, sf_dir, f), months(spark, sf_dir, f), SIDE)
 
 
 @query("w1_w2_t8_best_scene_per_tile_and_month", f"""WITH {OPTICAL_SQL}

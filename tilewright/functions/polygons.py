@@ -46,9 +46,8 @@ def edge_meets_box(e: Column, lo_x: Column, lo_y: Column, hi_x: Column, hi_y: Co
 
 def point_in_edges(x: Column, y: Column, edges: Column) -> Column:
     """Even-odd rule by counting the edges crossed by a ray to the right."""
-    crossings = F.filter(edges, lambda e: ((e["ay"] > y) != (e["by"] > y))
-                         & (x < (e["bx"] - e["ax"]) * (y - e["ay"]) / (e["by"] - e["ay"]) + e["ax"]))
-    return F.size(crossings) % 2 == 1
+    crosses = lambda e: ((e["ay"] > y) != (e["by"] > y)) & (x < (e["bx"] - e["ax"]) * (y - e["ay"]) / (e["by"] - e["ay"]) + e["ax"])
+    return F.aggregate(edges, F.lit(False), lambda odd, e: odd != crosses(e))
 
 
 def point_in_ring(x: Column, y: Column, ring: Column) -> Column:

@@ -15,12 +15,15 @@ SETTINGS = {
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+# call sites per column expression cost more time than small queries do
+QUIET = "spark.python.sql.dataFrameDebugging.enabled"
 
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings the operators rely on (all dates are UTC dates)."""
-    for key, value in SETTINGS.items():
-        spark.conf.set(key, value)
+    for key, value in {**SETTINGS, QUIET: "false"}.items():
+        if spark.conf.isModifiable(key):
+            spark.conf.set(key, value)
     return spark
 
 
@@ -32,7 +35,7 @@ def local_session(cpus: int = 8, memory: str = "12g", shuffle_partitions: int =
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions)))
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
-    spark = builder.getOrCreate()
+    spark = builder.config(QUIET, "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

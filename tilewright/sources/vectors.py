@@ -56,7 +56,9 @@ def area_squares(areas: DataFrame, cell: float) -> DataFrame:
     crossed = F.exists("edges", lambda e: P.edge_meets_box(e, F.col("lo_x"), F.col("lo_y"), F.col("hi_x"), F.col("hi_y")))
     marked = with_edges.withColumn("crossed", crossed).withColumn(
         "inside", P.point_in_edges((F.col("gx") + 0.5) * cell, (F.col("gy") + 0.5) * cell, F.col("edges")))
-    return marked.where("crossed OR inside").select("area_id", "gx", "gy", F.when(F.col("crossed"), F.col("edges")).alias("edges"))
+    # a ray to the right from inside the square meets only edges at its height that do not lie wholly to its left
+    near = F.filter("edges", lambda e: (F.greatest(e["ay"], e["by"]) >= F.col("lo_y")) & (F.least(e["ay"], e["by"]) <= F.col("hi_y")) & (F.greatest(e["ax"], e["bx"]) >= F.col("lo_x")))
+    return marked.where("crossed OR inside").select("area_id", "gx", "gy", F.when(F.col("crossed"), near).alias("edges"))
 
 
 def clip_points(points: DataFrame, areas: DataFrame, cell: float) -> DataFrame:
