@@ -70,6 +70,27 @@ def window_reports(spark, sf_dir):
         *[F.round(c, 6).alias(c) for c in ("observed", "single_clear", "composite_clear", "naive_observed")], "verdict")
 
 
+_PCT = "CAST(CAST(round_even({0} * 100, 0) AS BIGINT) AS VARCHAR) || '%'"
+
+
+@query("e5_selection_reasons", f"""WITH {OPTICAL_SQL}
+SELECT source_id, label, tile, 'highest clear fraction ' || {_PCT.format('clear')} || ' of ' || CAST(n_candidates AS VARCHAR) || ' candidates'
+ || CASE WHEN cloud > 20 THEN '; best available exceeds cloud threshold (' || CAST(CAST(round_even(cloud, 0) AS BIGINT) AS VARCHAR) || '% > 20%)' ELSE '' END
+ || CASE WHEN coverage < 0.9 THEN '; footprint covers only ' || {_PCT.format('coverage')} || ' of tile∩AOI (swath edge)' ELSE '' END AS reasons FROM best""")
+def selection_reasons(spark, sf_dir):
+    p = _plan(spark, sf_dir)
+    return p.selections.where(F.col("item_id").isNotNull()).select(F.col("aoi_id").alias("source_id"), "label", "tile", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query("e4_verdict_texts", f"""WITH {_REPORT_SQL}
+SELECT source_id, label, verdict, CASE verdict WHEN 'incomplete' THEN 'scenes in this window image only ' || {_PCT.format('observed')} || ' of the AOI' || CASE WHEN tiles_missing > 0 THEN ' (' || CAST(tiles_missing AS VARCHAR) || ' of ' || CAST(n_tiles AS VARCHAR) || ' tiles had no acquisition)' ELSE '' END
+ WHEN 'feasible-single' THEN 'one scene per tile reaches ' || {_PCT.format('single_clear')} || ' expected clear coverage'
+ WHEN 'feasible-composite' THEN 'single scenes give ' || {_PCT.format('single_clear')} || ' clear; a ' || CAST(CAST(composite_scenes AS BIGINT) AS VARCHAR) || '-scene composite reaches ' || {_PCT.format('composite_clear')}
+ ELSE 'all ' || CAST(CAST(n_scenes AS BIGINT) AS VARCHAR) || ' scenes combined reach only ' || CAST(CAST(floor(composite_clear * 100) AS BIGINT) AS VARCHAR) || '% expected clear (target 80%); consider SAR, a longer window, or coarser daily optical' END AS verdict_text FROM verdicts""")
+def verdict_texts(spark, sf_dir):
+    return _plan(spark, sf_dir).reports.select(F.col("aoi_id").alias("source_id"), "label", "verdict", "verdict_text")
+
+
 @query("f6_naive_cloud_filter", f"""WITH {_REPORT_SQL}
 SELECT source_id, label, CAST(naive_scenes AS BIGINT) AS naive_scenes, CAST(naive_cells AS INT) AS naive_cells FROM naive""")
 def naive_filter(spark, sf_dir):

@@ -1 +1 @@
-"""See the package README section for the operators kept here."""
+"""Column expressions."""

@@ -1 +1 @@
-"""See the package README section for the operators kept here."""
+"""Relational operators on needs, sources, files, pixels and report lines."""

@@ -1 +1 @@
-"""See the package README section for the operators kept here."""
+"""Planners and what follows from their plans."""
