@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import jaccard
+from tilewright.llm import jaccard, mixing, rules
 from tilewright.session import configure
 
 QUERIES: dict = {}
@@ -27,3 +27,15 @@ def query(name: str, sql: str | None = None):
 def op1(spark, table):
     """Documents with their shingle set size and the component of links at Jaccard 0.75 or more."""
     return jaccard.jaccard_components(table("documents"), percent=75, width=5)
+
+
+@query("op6_source_mixing", mixing.MIXING_SQL)
+def op6(spark, table):
+    """Words that a mix of the sources at weights 5, 2, 1 takes of every document."""
+    return mixing.mixed(table("documents"))
+
+
+@query("op10_quality_rules", rules.rules_sql())
+def op10(spark, table):
+    """Counts of every document and the verdict of the threshold table."""
+    return rules.judged(table("documents"))
