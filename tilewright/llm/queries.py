@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import jaccard, mixing, rules
+from tilewright.llm import jaccard, mixing, packing, rules
 from tilewright.session import configure
 
 QUERIES: dict = {}
@@ -29,6 +29,12 @@ def op1(spark, table):
     return jaccard.jaccard_components(table("documents"), percent=75, width=5)
 
 
+@query("op5_best_fit_packing")
+def op5(spark, table):
+    """Pieces of all documents packed into sequences of 2,048 tokens."""
+    return packing.packed(table("documents"), 2048)
+
+
 @query("op6_source_mixing", mixing.MIXING_SQL)
 def op6(spark, table):
     """Words that a mix of the sources at weights 5, 2, 1 takes of every document."""
