@@ -6,8 +6,9 @@
    The order decides cost only, never the result.
 3. A shuffle by shingle makes tiles; shingles with a single node go.  Inside a tile rows are sorted by size, and only pairs
    in the band of sizes and at positions that still allow the overlap are looked at.
-4. Each tile first pairs its nodes with one leader.  What links is one component, and only pairs of different components
-   are looked at afterwards: a group of near copies costs pairs in proportion to its size.
+4. Each tile first pairs its nodes with one leader, then, in a few rounds, with rows a fixed step away whose component differs.
+   What links is one component, and only pairs of different components are looked at afterwards: a group of near copies
+   costs pairs in proportion to its size.
 5. Bitmap signatures bound each pair's overlap from above by bit counts: (|A| + |B| - popcount(a xor b)) / 2.
 6. What is left is decided by intersecting the sorted shingle arrays.
 """
@@ -19,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tilewright.llm.components import components
-from tilewright.llm.stages import over_batches, signed, stage
+from tilewright.llm.stages import over_batches, signed, stage, whole_groups
 from tilewright.llm.words import chunks, mix, shingle_sets
 
-HEAVY = 100          # a shingle in so many nodes goes to the end of the order ...
-HEAVY_KEPT = 1 << 17  # ... for the most frequent ones; bounds what each task is sent to 2 MB
-_FLUSH = 1 << 21     # shingles, postings or pairs that a task holds at once
+HEAVY = 24           # a shingle in so many nodes goes to the end of the order ...
+HEAVY_KEPT = 1 << 18  # ... for the most frequent ones; bounds what each task is sent to 4 MB
+STEPS = (1, 3, 8)    # rounds of pairs with rows so far away in a tile, before all pairs of different components
+_FLUSH = 1 << 22     # shingles, postings or pairs that a task holds at once
 _BLOCK = 512         # rows of a tile compared at once
 
 
@@ -66,7 +68,7 @@ def heavy_shingles(docs: DataFrame, width: int, heavy: int = HEAVY, kept: int =
     def work(batches):
         def flush():
             names, counts = np.unique(np.concatenate(held), return_counts=True)
-            some = counts >= 3
+            some = counts >= 2
             return [signed(names[some]), counts[some]]
         held, n = [], 0
         for sets, cut, _, new in _fresh(batches, width):
@@ -131,26 +133,10 @@ def postings(docs: DataFrame, width: int, percent: int, heavy: tuple[np.ndarray,
     return over_batches(docs.select("text"), "shingle int, node long, place long", work)
 
 
-def _whole_tiles(batches):
-    """Columns of the partition's rows, sorted by shingle, in pieces that end where a tile ends unless it is longer than a flush."""
-    held, n = [], 0
-    for batch in batches:
-        held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)])
-        n += batch.num_rows
-        if n >= _FLUSH:
-            columns = [np.concatenate(c) for c in zip(*held)]
-            end = int(np.searchsorted(columns[0], columns[0][-1]))
-            if end:
-                yield [c[:end] for c in columns]
-                held, n = [[c[end:] for c in columns]], n - end
-    if n:
-        yield [np.concatenate(c) for c in zip(*held)]
-
-
 def shared_tiles(posts: DataFrame) -> DataFrame:
     """Postings of shingles with two nodes or more, each node once a tile, in order of shingle and size."""
     def work(batches):
-        for shingle, node, place in _whole_tiles(batches):
+        for shingle, node, place in whole_groups(batches):
             same = (shingle[1:] == shingle[:-1])
             again = np.concatenate([[False], same & (node[1:] == node[:-1])])
             shingle, node, place = shingle[~again], node[~again], place[~again]
@@ -190,7 +176,7 @@ def leader_pairs(tiles: DataFrame, percent: int) -> DataFrame:
     """Pairs of each tile's nodes with the leader of their size band: the smallest node of the band by size."""
     def work(batches):
         pairs = _Pairs()
-        for shingle, node, place in _whole_tiles(batches):
+        for shingle, node, place in whole_groups(batches):
             start = np.concatenate([[0], np.flatnonzero(shingle[1:] != shingle[:-1]) + 1])
             for _ in range(64):  # a band ends where sizes no longer fit its leader; the rest of the tile starts the next
                 tile = np.searchsorted(start, np.arange(len(shingle)), "right") - 1
@@ -210,11 +196,27 @@ def leader_pairs(tiles: DataFrame, percent: int) -> DataFrame:
     return over_batches(tiles, "a long, b long", work).distinct()
 
 
+def step_pairs(tiles: DataFrame, percent: int, step: int) -> DataFrame:
+    """Pairs of rows `step` apart in a tile whose components differ."""
+    def work(batches):
+        pairs = _Pairs()
+        for shingle, node, place, part in whole_groups(batches):
+            at = np.arange(max(0, len(shingle) - step))
+            at = at[(shingle[at] == shingle[at + step]) & (part[at] != part[at + step])]
+            at = at[_allowed(place[at], place[at + step], percent)]
+            pairs.add(node[at], node[at + step])
+            if pairs.n >= _FLUSH:
+                yield pairs.flush()
+        if pairs.n:
+            yield pairs.flush()
+    return over_batches(tiles, "a long, b long", work).distinct()
+
+
 def cross_pairs(tiles: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes in one tile whose components differ, from tiles with columns shingle, node, place, component."""
     def work(batches):
         pairs = _Pairs()
-        for shingle, node, place, part in _whole_tiles(batches):
+        for shingle, node, place, part in whole_groups(batches):
             n, at = len(shingle), np.arange(len(shingle))
             for step in range(1, _BLOCK):
                 at = at[at + step < n]
@@ -297,15 +299,20 @@ def exact_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int,
     return over_batches(both, "a long, b long", work)
 
 
+def _told(tiles: DataFrame, parts: DataFrame) -> DataFrame:
+    """Tiles with each node's component so far."""
+    return (tiles.join(parts, "node", "left").select("shingle", "node", "place", F.coalesce("component", "node").alias("component"))
+            .repartition("shingle").sortWithinPartitions("shingle", "place", "node"))
+
+
 def jaccard_components(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
-    """(doc_id long, n_shingles long, component_id long, n_links long) of every row of `docs` (doc_id, text; others are not read).
+    """(doc_id long, n_shingles long, component_id long) of every row of `docs` (doc_id, text; others are not read).
 
     Two documents link when 100 * intersection >= percent * union of their sets of distinct `width`-word shingles (the whole
-    word sequence if shorter).  component_id is the smallest doc_id reached by links.  n_links counts, for the document's set,
-    the links found to other sets that joined components; equal sets are linked through their node.  Null and empty texts
-    and texts of white space have an empty set, link with nothing and keep their own id.  Repeated rows come out repeated, in
-    one component; a null doc_id takes part in links, but names a component only if nothing else does.  An empty table gives
-    an empty one.  Long texts are read whole; ties do not arise.
+    word sequence if shorter).  component_id is the smallest doc_id reached by links.  Null and empty texts and texts of white
+    space have an empty set, link with nothing and keep their own id.  Repeated rows come out repeated, in one component; a
+    null doc_id takes part in links, but names a component only if nothing else does.  An empty table gives an empty one.
+    Long texts are read whole; ties do not arise.
 
     Equal sets are recognised by a 64-bit key of the set, shingles by 64-bit hashes.  The stages are written to the shared
     folder, so a lost executor costs one step.
@@ -314,19 +321,20 @@ def jaccard_components(docs: DataFrame, percent: int = 75, width: int = 5) -> Da
     nodes = card.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     nodes = stage(nodes, "nodes")
     tiles = stage(shared_tiles(postings(docs, width, percent, heavy_shingles(docs, width))), "tiles")
-    by_leader = stage(bounded_pairs(leader_pairs(tiles, percent), nodes, percent), "leaders")
-    star = stage(exact_pairs(by_leader, nodes, docs, width, percent), "links")
-    parts = stage(components(star), "parts")
-    told = (tiles.join(parts, "node", "left").select("shingle", "node", "place", F.coalesce("component", "node").alias("component"))
-            .repartition("shingle").sortWithinPartitions("shingle", "place", "node"))
-    rest = stage(bounded_pairs(cross_pairs(told, percent), nodes, percent), "rest")
-    links = star.union(stage(exact_pairs(rest, nodes, docs, width, percent), "links"))
+
+    def linked(pairs):
+        return stage(exact_pairs(stage(bounded_pairs(pairs, nodes, percent), "bounded"), nodes, docs, width, percent), "links")
+
+    links = linked(leader_pairs(tiles, percent))
+    parts = stage(components(links), "parts")
+    for step in STEPS:
+        links = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(linked(step_pairs(_told(tiles, parts), percent, step)))
+        parts = stage(components(links), "parts")
+    last = linked(cross_pairs(_told(tiles, parts), percent))
+    links = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(last)
     whole = stage(components(links), "components").join(nodes.select("node", "doc_id"), "node")
     least = whole.groupBy("component").agg(F.min("doc_id").alias("least"))
-    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     named = (nodes.select("node", F.col("doc_id").alias("own")).join(whole.select("node", "component"), "node", "left")
-             .join(least, "component", "left").join(ends, "node", "left")
-             .select("node", F.coalesce("least", "own").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+             .join(least, "component", "left").select("node", F.coalesce("least", "own").alias("component_id")))
     return card.select("doc_id", "n", "node").join(named, "node", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -42,3 +42,19 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 def key_of(word: int) -> int:
     return int(np.uint64(word).view(np.int64))
+
+
+def whole_groups(batches, size: int = 1 << 21) -> Iterator[list[np.ndarray]]:
+    """Columns of a partition sorted by its first column, in pieces that end where a group of equal values does."""
+    held, n = [], 0
+    for batch in batches:
+        held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)])
+        n += batch.num_rows
+        if n >= size:
+            columns = [np.concatenate(c) for c in zip(*held)]
+            end = int(np.searchsorted(columns[0], columns[0][-1]))
+            if end:
+                yield [c[:end] for c in columns]
+            held, n = [[c[end:] for c in columns]], n - end
+    if n:
+        yield [np.concatenate(c) for c in zip(*held)]
