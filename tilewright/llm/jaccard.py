@@ -6,10 +6,11 @@
    The order decides cost only, never the result.
 3. A shuffle by shingle makes tiles; shingles with a single node go.  Inside a tile rows are sorted by size, and only pairs
    in the band of sizes and at positions that still allow the overlap are looked at.
-4. Each tile first pairs its nodes with one leader, then, in a few rounds, with rows a fixed step away whose component differs.
+4. Each tile first pairs its nodes with one leader, then with a few hash-random rows whose component differs.
    What links is one component, and only pairs of different components are looked at afterwards: a group of near copies
    costs pairs in proportion to its size.
-5. Bitmap signatures bound each pair's overlap from above by bit counts: (|A| + |B| - popcount(a xor b)) / 2.
+5. Bitmap signatures bound each pair's overlap from above by bit counts: (|A| + |B| - popcount(a xor b)) / 2.  For the pairs
+   of different components that is done inside the tile, on folded signatures, before a pair is written.
 6. What is left is decided by intersecting the sorted shingle arrays.
 """
 
@@ -25,7 +26,9 @@ from tilewright.llm.words import chunks, mix, shingle_sets
 
 HEAVY = 24           # a shingle in so many nodes goes to the end of the order ...
 HEAVY_KEPT = 1 << 18  # ... for the most frequent ones; bounds what each task is sent to 4 MB
-STEPS = (1, 3, 8)    # rounds of pairs with rows so far away in a tile, before all pairs of different components
+TRIES = 8            # hash-random rows of its tile that a row is paired with before all pairs of different components ...
+ROUNDS = 2           # ... so often, each with the components found so far
+SIGNATURE = 1024     # bits at most of the signatures that tiles compare; longer ones are folded
 _FLUSH = 1 << 22     # shingles, postings or pairs that a task holds at once
 _BLOCK = 512         # rows of a tile compared at once
 
@@ -196,50 +199,116 @@ def leader_pairs(tiles: DataFrame, percent: int) -> DataFrame:
     return over_batches(tiles, "a long, b long", work).distinct()
 
 
-def step_pairs(tiles: DataFrame, percent: int, step: int) -> DataFrame:
-    """Pairs of rows `step` apart in a tile whose components differ."""
+def tried_pairs(tiles: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each row with its neighbour and some hash-random rows of its tile, where components differ."""
     def work(batches):
         pairs = _Pairs()
         for shingle, node, place, part in whole_groups(batches):
-            at = np.arange(max(0, len(shingle) - step))
-            at = at[(shingle[at] == shingle[at + step]) & (part[at] != part[at + step])]
-            at = at[_allowed(place[at], place[at + step], percent)]
-            pairs.add(node[at], node[at + step])
-            if pairs.n >= _FLUSH:
-                yield pairs.flush()
+            at = np.arange(len(shingle))
+            start = np.searchsorted(shingle, shingle)
+            size = np.searchsorted(shingle, shingle, "right") - start
+            for turn in range(TRIES):
+                other = at + 1 if turn == 0 else start + (mix(node.view(np.uint64) + np.uint64(turn)) % size.astype(np.uint64)).astype(np.int64)
+                other = np.minimum(other, start + size - 1)
+                ok = at[part != part[other]]
+                ok = ok[_allowed(place[ok], place[other[ok]], percent)]
+                pairs.add(node[ok], node[other[ok]])
+                if pairs.n >= _FLUSH:
+                    yield pairs.flush()
         if pairs.n:
             yield pairs.flush()
     return over_batches(tiles, "a long, b long", work).distinct()
 
 
+def _cross(shingle, node, place, part, percent):
+    """Rows (i, j) of one tile whose components differ and whose sizes and positions allow the overlap, lot by lot."""
+    n, at = len(shingle), np.arange(len(shingle))
+    for step in range(1, _BLOCK):
+        at = at[at + step < n]
+        at = at[shingle[at] == shingle[at + step]]
+        if not len(at):
+            return
+        ok = at[(part[at] != part[at + step]) & _allowed(place[at], place[at + step], percent)]
+        yield ok, ok + step
+    for lo in at.tolist():  # tiles of over _BLOCK rows: each row with those further away in its size band
+        hi = int(np.searchsorted(shingle, shingle[lo], "right"))
+        hi = lo + int(np.searchsorted(place[lo:hi] >> 32, 100 * int(place[lo] >> 32) // percent + 1))
+        rest = np.arange(min(lo + _BLOCK, hi), hi)
+        rest = rest[(part[rest] != part[lo]) & _allowed(place[lo], place[rest], percent)]
+        yield np.full(len(rest), lo), rest
+
+
+def open_rows(tiles: DataFrame, percent: int) -> DataFrame:
+    """Rows of tiles that have a row of another component to be compared with."""
+    def work(batches):
+        for shingle, node, place, part in whole_groups(batches):
+            wanted = np.zeros(len(shingle), bool)
+            for i, j in _cross(shingle, node, place, part, percent):
+                wanted[i] = wanted[j] = True
+            yield [shingle[wanted], node[wanted], place[wanted], part[wanted]]
+    return over_batches(tiles, "shingle int, node long, place long, component long", work)
+
+
+def _matrix(column, size: int) -> np.ndarray:
+    """Bitmaps as rows of 64-bit words, each folded to `size` bits or shorter and then filled with zeros."""
+    out = np.zeros((len(column), size // 8), np.uint8)
+    for i, bits in enumerate(column.to_pylist()):
+        bits = _folded(bits, size // 8)
+        out[i, :len(bits)] = bits
+    return out.view(np.uint64)
+
+
 def cross_pairs(tiles: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes in one tile whose components differ, from tiles with columns shingle, node, place, component."""
+    """Pairs of nodes of different components in one tile that their signatures' bit counts do not rule out.
+
+    `tiles` has shingle, node, place, component, bits in order of shingle, place and node.
+    """
     def work(batches):
         pairs = _Pairs()
-        for shingle, node, place, part in whole_groups(batches):
-            n, at = len(shingle), np.arange(len(shingle))
-            for step in range(1, _BLOCK):
-                at = at[at + step < n]
-                at = at[shingle[at] == shingle[at + step]]
-                if not len(at):
-                    break
-                ok = at[(part[at] != part[at + step]) & _allowed(place[at], place[at + step], percent)]
-                pairs.add(node[ok], node[ok + step])
-                if pairs.n >= _FLUSH:
-                    yield pairs.flush()
-            for lo in at.tolist():  # tiles of over _BLOCK rows: each row with those further away in its size band
-                hi = int(np.searchsorted(shingle, shingle[lo], "right"))
-                hi = lo + int(np.searchsorted(place[lo:hi] >> 32, 100 * int(place[lo] >> 32) // percent + 1))
-                rest = np.arange(min(lo + _BLOCK, hi), hi)
-                ok = rest[(part[rest] != part[lo]) & _allowed(place[lo], place[rest], percent)]
-                pairs.add(np.full(len(ok), node[lo]), node[ok])
-                if pairs.n >= _FLUSH:
-                    yield pairs.flush()
+        for table in _tiles_of(batches):
+            shingle, node, place, part = (table.column(i).to_numpy() for i in range(4))
+            bits = table.column(4)
+            words = _matrix(bits, SIGNATURE)
+            length = np.minimum([len(b) for b in bits.to_pylist()], SIGNATURE // 8)
+            half = np.zeros_like(words)  # each bitmap folded once more, to be compared with shorter ones
+            for size in np.unique(length):
+                own = np.flatnonzero(length == size)
+                if size > 8:
+                    both = words[own].view(np.uint8)[:, :size]
+                    half[own] = np.pad(both[:, :size // 2] ^ both[:, size // 2:], ((0, 0), (0, SIGNATURE // 8 - size // 2))).view(np.uint64)
+            for i, j in _cross(shingle, node, place, part, percent):
+                for lo in range(0, len(i), 1 << 16):
+                    a, b = i[lo:lo + (1 << 16)], j[lo:lo + (1 << 16)]
+                    x = np.where((length[a] > length[b])[:, None], half[a], words[a])
+                    y = np.where((length[b] > length[a])[:, None], half[b], words[b])
+                    total = (place[a] >> 32) + (place[b] >> 32)
+                    near = np.abs(np.log2(length[a]) - np.log2(length[b])) <= 1
+                    ok = ~near | ((total - np.bitwise_count(x ^ y).sum(axis=1)) // 2 >= _least_overlap(total, percent))
+                    pairs.add(node[a[ok]], node[b[ok]])
+                    if pairs.n >= _FLUSH:
+                        yield pairs.flush()
         if pairs.n:
             yield pairs.flush()
     return over_batches(tiles, "a long, b long", work).distinct()
 
 
+def _tiles_of(batches, size: int = 1 << 17):
+    """Arrow tables of whole tiles, as whole_groups has columns."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= size:
+            table = pa.Table.from_batches(held)
+            shingle = table.column(0).to_numpy()
+            end = int(np.searchsorted(shingle, shingle[-1]))
+            if end:
+                yield table.slice(0, end)
+            held, n = table.slice(end).combine_chunks().to_batches(), n - end
+    if n:
+        yield pa.Table.from_batches(held)
+
+
 def _folded(bits: bytes, size: int) -> np.ndarray:
     """A power-of-two bitmap folded to a smaller one, as if it had been made with so many bits."""
     words = np.frombuffer(bits, np.uint8)
@@ -327,10 +396,11 @@ def jaccard_components(docs: DataFrame, percent: int = 75, width: int = 5) -> Da
 
     links = linked(leader_pairs(tiles, percent))
     parts = stage(components(links), "parts")
-    for step in STEPS:
-        links = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(linked(step_pairs(_told(tiles, parts), percent, step)))
+    for _ in range(ROUNDS):
+        links = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(linked(tried_pairs(_told(tiles, parts), percent)))
         parts = stage(components(links), "parts")
-    last = linked(cross_pairs(_told(tiles, parts), percent))
+    still = open_rows(_told(tiles, parts), percent).join(nodes.select("node", "bits"), "node").select("shingle", "node", "place", "component", "bits")
+    last = linked(cross_pairs(still.repartition("shingle").sortWithinPartitions("shingle", "place", "node"), percent))
     links = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(last)
     whole = stage(components(links), "components").join(nodes.select("node", "doc_id"), "node")
     least = whole.groupBy("component").agg(F.min("doc_id").alias("least"))

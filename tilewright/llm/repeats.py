@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tilewright.llm.stages import over_batches, signed, stage, whole_groups
+from tilewright.llm.stages import importable, over_batches, signed, stage, whole_groups
 from tilewright.llm.words import chunks, mix, powers
 
 LENGTH = 200
@@ -333,6 +333,7 @@ def deduplicated_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def cut(text: pd.Series, places: pd.Series) -> pd.Series:
         return pd.Series([t if p is None else cut_text(t, sorted(int(x) for x in p), length) for t, p in zip(text, places)], dtype=object)
 
+    importable(docs.sparkSession)
     found = repeated_starts(_keyed(docs), length).select(F.col("key").alias("k"), "places")
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("k")).join(found, "k", "left")
     new = rows.withColumn("new", F.when(F.col("places").isNull(), F.col("row.text")).otherwise(cut("row.text", "places")))

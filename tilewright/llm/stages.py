@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tilewright.session import shared_folder
 
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """Python workers started from now on find this package where it lies, besides what the cluster gives them."""
+    path = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if _ROOT not in path.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (path, _ROOT) if x)
+    return spark
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """The rows written once to the folder named by `spark.checkpoint.dir` and read from there."""
     spark, path = df.sparkSession, shared_folder(df.sparkSession, name)
@@ -32,6 +44,7 @@ def over_batches(df: DataFrame, schema: str, work: Callable[[Iterator[pa.RecordB
         for columns in work(batches):
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, fields)],
                                              schema=fields)
+    importable(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
