@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tilewright.llm.components import components
 from tilewright.llm.stages import over_batches, signed, stage, whole_groups
@@ -90,7 +90,7 @@ def heavy_shingles(docs: DataFrame, width: int, heavy: int = HEAVY, kept: int =
 
 
 def cards(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, node, bits) of every document: set size, set key (null for an empty set) and bitmap signature.
+    """(doc_id, key, n, node, bits) of every row: hash of id and text, set size, set key (null for an empty set), bitmap signature.
 
     The bitmap has the smallest power of two bits that is at least twice the set, 64 or more; a shingle flips one bit.
     """
@@ -102,8 +102,9 @@ def cards(docs: DataFrame, width: int) -> DataFrame:
                 for i, n in enumerate(sizes.tolist()):
                     flips = np.bincount((sets[cut[i]:cut[i + 1]] & np.uint64(signature_bits(n) - 1)).astype(np.int64), minlength=signature_bits(n))
                     bits.append(np.packbits((flips & 1).astype(np.uint8)).tobytes() if n else b"")
-                yield [rows.column("doc_id"), sizes, pa.array(signed(keys), mask=sizes == 0), bits]
-    return over_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id long, n int, node long, bits binary", work)
+                yield [rows.column("doc_id"), rows.column("key"), sizes, pa.array(signed(keys), mask=sizes == 0), bits]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), "text")
+    return over_batches(rows, "doc_id long, key long, n int, node long, bits binary", work)
 
 
 def signature_bits(n: int) -> int:
@@ -386,6 +387,16 @@ def jaccard_components(docs: DataFrame, percent: int = 75, width: int = 5) -> Da
     Equal sets are recognised by a 64-bit key of the set, shingles by 64-bit hashes.  The stages are written to the shared
     folder, so a lost executor costs one step.
     """
+    card, nodes, named = _grouped(docs, percent, width)
+    least = nodes.join(named, "node").groupBy("component").agg(F.min("doc_id").alias("least"))
+    found = named.join(least, "component").select("node", F.col("least").alias("component_id"))
+    return card.select("doc_id", "n", "node").join(found, "node", "left").select(
+        "doc_id", F.col("n").cast("long").alias("n_shingles"),
+        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _grouped(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cards of all rows, one row for each distinct set (node), and (node, component) of every node."""
     card = stage(cards(docs, width), "cards")
     nodes = card.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     nodes = stage(nodes, "nodes")
@@ -402,9 +413,19 @@ def jaccard_components(docs: DataFrame, percent: int = 75, width: int = 5) -> Da
     still = open_rows(_told(tiles, parts), percent).join(nodes.select("node", "bits"), "node").select("shingle", "node", "place", "component", "bits")
     last = linked(cross_pairs(still.repartition("shingle").sortWithinPartitions("shingle", "place", "node"), percent))
     links = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(last)
-    whole = stage(components(links), "components").join(nodes.select("node", "doc_id"), "node")
-    least = whole.groupBy("component").agg(F.min("doc_id").alias("least"))
-    named = (nodes.select("node", F.col("doc_id").alias("own")).join(whole.select("node", "component"), "node", "left")
-             .join(least, "component", "left").select("node", F.coalesce("least", "own").alias("component_id")))
-    return card.select("doc_id", "n", "node").join(named, "node", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    whole = nodes.select("node").join(stage(components(links), "components"), "node", "left")
+    return card, nodes, whole.select("node", F.coalesce("component", "node").alias("component"))
+
+
+def one_of_each(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
+    """The rows of `docs`, all columns, of one document of each component: the smallest doc_id, then the smallest hash of id
+    and text; an id that is null counts as largest.  Repeated rows are one document.  Rows without words link with nothing and all stay.
+    """
+    card, _, named = _grouped(docs, percent, width)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    kept = card.join(named, "node").groupBy("component").agg(F.min(order)["key"].alias("k"))
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("k"))
+    blank = ~F.regexp_like(F.coalesce("row.text", F.lit("")), F.lit("[^ \\t-\\r]"))
+    first = F.row_number().over(W.partitionBy("k").orderBy("k")) == 1
+    chosen = rows.where(~blank).join(kept, "k", "left_semi").withColumn("first", first).where("first").select("row.*")
+    return chosen.unionByName(rows.where(blank).select("row.*"))

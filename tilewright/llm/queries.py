@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import jaccard, mixing, packing, rules
+from tilewright.llm import jaccard, mixing, packing, repeats, rules
 from tilewright.session import configure
 
 QUERIES: dict = {}
@@ -29,6 +29,12 @@ def op1(spark, table):
     return jaccard.jaccard_components(table("documents"), percent=75, width=5)
 
 
+@query("op3_suffix_array_dedup")
+def op3(spark, table):
+    """Bytes left of every document once strings of 200 bytes that start anywhere else are removed."""
+    return repeats.deduplicated(table("documents"), 200)
+
+
 @query("op5_best_fit_packing")
 def op5(spark, table):
     """Pieces of all documents packed into sequences of 2,048 tokens."""

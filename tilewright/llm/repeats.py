@@ -18,7 +18,9 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
 from tilewright.llm.stages import importable, over_batches, signed, stage, whole_groups
@@ -326,9 +328,7 @@ def cut_text(text: str, places: list[int] | None, length: int = LENGTH) -> str:
 
 
 def deduplicated_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """All rows and columns of `docs` with text cut as above at whole characters, and n_chars, if there, counted anew."""
-    import pandas as pd
-
+    """All rows and columns of `docs` with text cut as above at whole characters, and n_chars, if there, counted anew for them."""
     @F.pandas_udf("string")
     def cut(text: pd.Series, places: pd.Series) -> pd.Series:
         return pd.Series([t if p is None else cut_text(t, sorted(int(x) for x in p), length) for t, p in zip(text, places)], dtype=object)
@@ -337,5 +337,6 @@ def deduplicated_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     found = repeated_starts(_keyed(docs), length).select(F.col("key").alias("k"), "places")
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("k")).join(found, "k", "left")
     new = rows.withColumn("new", F.when(F.col("places").isNull(), F.col("row.text")).otherwise(cut("row.text", "places")))
-    fields = {"text": F.col("new"), "n_chars": F.char_length("new").cast("long")}
+    counted = F.when(F.col("places").isNull(), F.col("row.n_chars")).otherwise(F.char_length("new")) if "n_chars" in docs.columns else None
+    fields = {"text": F.col("new"), "n_chars": counted}
     return new.select(*(fields.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

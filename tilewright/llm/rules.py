@@ -16,10 +16,10 @@ STOP_WORDS = tuple(sorted(set((
 
 #: (rule, measure, least, most): a document is kept if every measure lies between its bounds; null is no bound.
 THRESHOLDS = (
-    ("mean_word_length", lambda m: m("word_chars") / m("n_words"), 2.0, 15.0),
-    ("symbol_ratio", lambda m: m("n_symbols") / m("word_chars"), None, 0.05),
-    ("stop_word_ratio", lambda m: m("n_stop_words") / m("n_words"), 0.03, None),
-    ("duplicate_line_ratio", lambda m: m("n_dup_lines") / m("n_lines"), None, 0.5),
+    ("mean_word_length", lambda m: F.try_divide(m("word_chars"), m("n_words")), 2.0, 15.0),
+    ("symbol_ratio", lambda m: F.try_divide(m("n_symbols"), m("word_chars")), None, 0.05),
+    ("stop_word_ratio", lambda m: F.try_divide(m("n_stop_words"), m("n_words")), 0.03, None),
+    ("duplicate_line_ratio", lambda m: F.try_divide(m("n_dup_lines"), m("n_lines")), None, 0.5),
 )
 
 
