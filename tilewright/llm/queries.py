@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import jaccard, mixing, packing, repeats, rules
+from tilewright.llm import jaccard, licences, mixing, nearest, packing, ranking, repeats, rules, separators, urls
 from tilewright.session import configure
 
 QUERIES: dict = {}
@@ -29,12 +29,24 @@ def op1(spark, table):
     return jaccard.jaccard_components(table("documents"), percent=75, width=5)
 
 
+@query("op2_url_filters")
+def op2(spark, table):
+    """Every page's host, path, rule and verdict, by rules first and by trust and distrust along links otherwise."""
+    return urls.judged(table("pages"))
+
+
 @query("op3_suffix_array_dedup")
 def op3(spark, table):
     """Bytes left of every document once strings of 200 bytes that start anywhere else are removed."""
     return repeats.deduplicated(table("documents"), 200)
 
 
+@query("op4_licence_scan")
+def op4(spark, table):
+    """Licence statements in all documents with their family."""
+    return licences.scanned(table("documents"))
+
+
 @query("op5_best_fit_packing")
 def op5(spark, table):
     """Pieces of all documents packed into sequences of 2,048 tokens."""
@@ -47,6 +59,24 @@ def op6(spark, table):
     return mixing.mixed(table("documents"))
 
 
+@query("op7_quality_ranking")
+def op7(spark, table):
+    """Quality score of every document, learned from pairs of labelled ones."""
+    return ranking.scored(table("documents"), table("labels"))
+
+
+@query("op8_exact_top_k", nearest.NEAREST_SQL)
+def op8(spark, table):
+    """The five vectors of highest integer inner product with every fiftieth vector."""
+    return nearest.top_k(table("embeddings"), k=5, every=50)
+
+
+@query("op9_token_counts")
+def op9(spark, table):
+    """Tokens of every document, counted between end ids of flat token files."""
+    return separators.document_tokens(table("documents"))
+
+
 @query("op10_quality_rules", rules.rules_sql())
 def op10(spark, table):
     """Counts of every document and the verdict of the threshold table."""

@@ -33,7 +33,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def table_of(schema: str) -> pa.Schema:
     """Arrow fields of a short Spark schema such as 'a long, b int, c binary'."""
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(),
-             "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+             "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}
     return pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in schema.split(", ")])
 
 
