@@ -15,14 +15,17 @@ SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("tex
 ODD = ["", " ", "  a", "a  b", "a   b ", "x \n y", "x\n \ny", "a   b", "it's  <|endoftext|>  so", "é　 　ü", "tab\t tab", "don't we'll ,  no", "\n\n a\n\n b \n", "end   ", "日本 語 12 345"]
 
 
+TOKENIZER = Tokenizer.from_file(tokenizer_file())
+
+
 def whole(text):
-    t = Tokenizer.from_file(tokenizer_file())
-    return t.encode(text or "", add_special_tokens=False).ids + [0]
+    return TOKENIZER.encode(text or "", add_special_tokens=False).ids + [0]
 
 
 def test_stretches_give_the_ids_of_whole_texts():
     rng = random.Random(5)
     texts = ODD + ["".join(rng.choice([" ", "  ", "a", "the", "\n", "'s", "9", ".", "é", "\t", " "]) for _ in range(rng.randrange(40))) for _ in range(400)]
+    texts += ["".join(chr(rng.choice([*range(9, 14), *range(32, 0x17F), 0x2019, 0x2026, 0x20AC])) for _ in range(rng.randrange(30))) for _ in range(2000)]
     assert [list(struct.unpack(f"<{len(b) // 4}I", b)) + [0] for b in Encoder.of(tokenizer_file()).encode(texts)] == [whole(t) for t in texts]
 
 

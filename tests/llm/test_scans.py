@@ -62,7 +62,7 @@ def test_urls_link_graph(spark):
     trust, bad = page_rank(count, seeds("g")), page_rank({(b, a): n / sum(v for (x, y), v in count.items() if x == a) for (a, b), n in count.items()}, seeds("b"))
     for h, r in got.items():
         assert r.trust == pytest.approx(trust.get(h, 0), abs=1e-5) and r.distrust == pytest.approx(bad.get(h, 0), abs=1e-5)
-        own = {"g": "allow", "b": "block"}.get(h[0]) or ("block" if bad.get(h, 0) > max(trust.get(h, 0), 1 / len(pages)) else "allow")
+        own = {"g": "allow", "b": "block"}.get(h[0]) or ("block" if bad.get(h, 0) > max(trust.get(h, 0), 0.2 / len(pages)) else "allow")
         assert r.verdict == own
     assert {r.verdict for h, r in got.items() if h in ("n1.org", "n2.org")} == {"block"} and "allow" in {r.verdict for h, r in got.items() if h[0] == "n"}
 

@@ -67,11 +67,11 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING) -> Data
     return now
 
 
-def judged(pages: DataFrame, rules=RULES, threshold: float = 1.0) -> DataFrame:
+def judged(pages: DataFrame, rules=RULES, threshold: float = 1.0, least: float = 0.2) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for each row of `pages` (page_id, url, html).
 
     A url that a rule fits has the rule's verdict.  Otherwise its host decides: a host is blocked if its distrust is more than
-    `threshold` times its trust and more than an even share of all distrust.  Trust starts at hosts most of whose judged pages
+    `threshold` times its trust and more than `least` of an even share of all distrust.  Trust starts at hosts most of whose judged pages
     are allowed by rules and follows links; distrust starts at hosts most of whose pages are blocked and goes from a page to
     the pages that link to it.  Hosts that neither reaches are allowed.
 
@@ -94,7 +94,7 @@ def judged(pages: DataFrame, rules=RULES, threshold: float = 1.0) -> DataFrame:
     total = edges.groupBy("dst").agg(F.sum("weight").alias("in"))
     turned = stage(edges.join(total, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("weight") / F.col("in")).alias("weight")), "edges")
     distrust = spread(turned, seeds("bad"))
-    share = 1.0 / max(1, each.count())
+    share = least / max(1, each.count())
     hosts = (each.select("host").join(trust.withColumnRenamed("score", "trust"), "host", "left").join(distrust.withColumnRenamed("score", "distrust"), "host", "left")
              .select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")))
     bad = (F.col("distrust") > threshold * F.col("trust")) & (F.col("distrust") > share)
