@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tilewright.functions import bitgrid as B
 from tilewright.operators import windows as D
-from tilewright.session import configure, spread
+from tilewright.session import configure
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -35,7 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---- catalogue items derived from events -------------------------------------------------------------------------
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "events")).selectExpr(
+    return (table(spark, sf_dir, "events")).selectExpr(
         "event_id AS item_id", "concat('src_', event_type) AS source_id", "concat('src_', event_type) AS aoi_id", "ts",
         "date_add(CAST(ts AS DATE), CAST(event_id % 12 AS INT) * 30) AS d", "CAST(user_id % 16 AS INT) AS tile",
         "CASE WHEN event_id % 29 = 0 THEN NULL ELSE CAST((event_id * 37) % 101 AS DOUBLE) END AS cloud_cover",

@@ -302,7 +302,7 @@ _HAZARD_SQL = """areas AS (SELECT c_custkey AS area_id, (c_custkey * 7 % 360) -
   CASE WHEN c_custkey % 2 = 0 THEN 'FL' ELSE 'TC' END AS code, DATE '1996-01-01' AS s, DATE '1998-12-31' AS e FROM customer),
 haz AS (SELECT o_orderkey AS hazard_id, CASE WHEN o_orderkey % 3 = 0 THEN 'FL' ELSE 'TC' END AS code, 'event ' || CAST(o_orderkey AS VARCHAR) AS hazard_name,
   CAST(o_orderdate AS DATE) AS hs, (o_orderkey * 11 % 3600) / 10.0::DOUBLE - 180 AS lon, (o_orderkey * 17 % 1700) / 10.0::DOUBLE - 85 AS lat FROM orders),
-near AS (SELECT a.area_id, h.hazard_id, h.hazard_name, h.hs, round(sqrt(power(h.lon - a.cx, 2) + power(h.lat - a.cy, 2)), 2) AS dist FROM areas a JOIN haz h
+near AS (SELECT a.area_id, h.hazard_id, h.hazard_name, h.hs, round_even(sqrt(power(h.lon - a.cx, 2) + power(h.lat - a.cy, 2)), 2) AS dist FROM areas a JOIN haz h
   ON a.code = h.code AND h.hs BETWEEN a.s AND a.e AND sqrt(power(h.lon - a.cx, 2) + power(h.lat - a.cy, 2)) <= 3.0)"""
 
 

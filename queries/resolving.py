@@ -9,7 +9,7 @@ from tilewright import vocab as V
 from tilewright.functions import scalars as S, verdicts as E
 from tilewright.operators import needs as N, resolve as R
 from tilewright.plans import layers as L, requests as Q
-from tilewright.session import spread, write_stage
+from tilewright.session import write_stage
 from tilewright.sources import registry as G
 from tilewright.sources.registry_rows import RULES, SOURCES
 
@@ -117,7 +117,7 @@ ASKS_SQL = """asks AS (SELECT doc_id AS ask_id, CASE doc_id % 9 WHEN 0 THEN 'flo
 
 
 def asks(spark, sf_dir):
-    return spread(table(spark, sf_dir, "documents")).selectExpr("doc_id AS ask_id", """CASE doc_id % 9 WHEN 0 THEN concat('flood in Chitradurga in August ', 2000 + doc_id % 25)
+    return (table(spark, sf_dir, "documents")).selectExpr("doc_id AS ask_id", """CASE doc_id % 9 WHEN 0 THEN concat('flood in Chitradurga in August ', 2000 + doc_id % 25)
  WHEN 1 THEN concat('NDVI from June to September ', 2000 + doc_id % 25, ' over Tumakuru') WHEN 2 THEN concat('urban expansion of Bengaluru between 2005 and ', 2006 + doc_id % 19)
  WHEN 3 THEN concat('forest loss since ', 2000 + doc_id % 25) WHEN 4 THEN concat('drought during the ', 2000 + doc_id % 25, ' monsoon')
  WHEN 5 THEN concat('flood on 2024-0', 1 + doc_id % 8, '-15 in Wayanad') WHEN 6 THEN 'road network of Mysuru' WHEN 7 THEN concat('slope map of Coorg in ', 2000 + doc_id % 25) ELSE text END AS text""")

@@ -9,7 +9,6 @@ from tilewright import vocab as V
 from tilewright.functions import geodesy as G, polygons as P, scalars as S
 from tilewright.operators import windows as D
 from tilewright.plans import layers as L
-from tilewright.session import spread
 from tilewright.sources import catalogue as C, registry as R, vectors as X
 from tilewright.sources.registry_rows import RULES, SOURCES
 
@@ -85,7 +84,7 @@ _FEATURE_SOURCES = ("sentinel-2-l2a", "landsat-c2-l2", "hls-l30", "opera-dswx-hl
 
 def _feature_json(spark, sf_dir):
     """Catalogue features as JSON text, with the differences between providers that normalisation absorbs."""
-    e = spread(table(spark, sf_dir, "events"))
+    e = (table(spark, sf_dir, "events"))
     k = F.col("event_id")
     src = F.element_at(F.lit(list(_FEATURE_SOURCES)), (k % 4 + 1).cast("int"))
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -107,9 +106,11 @@ def _feature_json(spark, sf_dir):
         *[F.struct(F.lit(n).alias("key"), href(n).alias("value")) for n in names],
         F.struct(F.when(k % 8 == 3, "1_B01_WTR").otherwise("0_B01_WTR").alias("key"), href("wtr").alias("value"))), lambda p: p["key"].isNotNull()))
     item = F.concat(F.lit("OPERA_HLS.T"), F.lpad((k % 100000).cast("string"), 5, "0"), F.lit("._T"), F.lpad((k % 77777).cast("string"), 5, "0"), F.lit("_"), k.cast("string"))
-    feature = F.struct(item.alias("id"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"),
-                       F.map_filter(props, lambda _, v: v.isNotNull()).alias("properties"), assets.alias("assets"))
-    return e.select(src.alias("source_id"), F.to_json(feature).alias("js"))
+    part = F.array(*[F.array(a, b) for a, b in ((x + 2, y + 2), (x + 3, y + 2), (x + 3, y + 3), (x + 2, y + 2))])
+    feature = lambda kind, shape: F.to_json(F.struct(item.alias("id"), F.struct(F.lit(kind).alias("type"), shape.alias("coordinates")).alias("geometry"),
+                                                     F.map_filter(props, lambda _, v: v.isNotNull()).alias("properties"), assets.alias("assets")))
+    js = F.when(k % 9 == 0, feature("MultiPolygon", F.array(F.array(ring), F.array(part)))).otherwise(feature("Polygon", F.array(ring)))
+    return e.select(src.alias("source_id"), js.alias("js"))
 
 
 def _normalised(spark, sf_dir):
@@ -129,7 +130,9 @@ norm AS (SELECT 'OPERA_HLS.T' || lpad(CAST(k % 100000 AS VARCHAR), 5, '0') || '.
  CASE k % 5 WHEN 0 THEN k + 10 WHEN 1 THEN k + 400 END::DOUBLE AS tb_maxx, CASE k % 5 WHEN 0 THEN 20 WHEN 1 THEN 500 END::DOUBLE AS tb_maxy,
  CASE k % 4 WHEN 0 THEN 'red' WHEN 1 THEN 'nir,red' WHEN 2 THEN 'nir,red' ELSE 'water' END AS assets,
  'https://x/' || CAST(k AS VARCHAR) || CASE k % 4 WHEN 0 THEN '_red' WHEN 1 THEN '_nir08' WHEN 2 THEN '_B05' ELSE '_wtr' END || '.tif' AS first_href,
- CAST(k % 300 - 150 AS DOUBLE) AS minx, CAST(k % 120 - 60 AS DOUBLE) AS miny, k FROM k)"""
+ CAST(k % 300 - 150 AS DOUBLE) AS minx, CAST(k % 120 - 60 AS DOUBLE) AS miny,
+ CAST(k % 300 - 150 + CASE WHEN k % 9 = 0 THEN 3 ELSE 1 END AS DOUBLE) AS maxx, CAST(k % 120 - 60 + CASE WHEN k % 9 = 0 THEN 3 ELSE 2 END AS DOUBLE) AS maxy,
+ CAST(CASE WHEN k % 9 = 0 THEN 2 ELSE 1 END AS INT) AS n_rings, k FROM k)"""
 
 
 @query("s3_p1_to_p6_normalised_items", f"WITH {_NORM_SQL} SELECT * EXCLUDE (k) FROM norm")
@@ -138,11 +141,11 @@ def normalised_items(spark, sf_dir):
     names = F.sort_array(F.map_keys("assets"))
     return n.select("item_id", "source_id", "dt", "cloud_cover", "group", "epsg", *[F.col(f"tile_bbox.{c}").alias(f"tb_{c}") for c in ("minx", "miny", "maxx", "maxy")],
                     F.array_join(names, ",").alias("assets"), F.try_element_at("assets", F.get(names, F.lit(0)))["href"].alias("first_href"),
-                    F.col("footprint.minx").alias("minx"), F.col("footprint.miny").alias("miny"))
+                    *[F.col(f"footprint.{c}").alias(c) for c in ("minx", "miny", "maxx", "maxy")], F.size("rings").alias("n_rings"))
 
 
 @query("s4_s5_filtered_search", f"""WITH {_NORM_SQL} SELECT item_id, source_id, dt, 'red' AS assets FROM norm WHERE source_id = 'landsat-c2-l2'
- AND minx <= 60 AND minx + 1 >= -20 AND miny <= 30 AND miny + 2 >= -40 AND CAST(dt AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-20' AND k % 200 = 77""")
+ AND minx <= 60 AND maxx >= -20 AND miny <= 30 AND maxy >= -40 AND CAST(dt AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-20' AND k % 200 = 77""")
 def filtered_search(spark, sf_dir):
     hits = C.search(_normalised(spark, sf_dir), "landsat-c2-l2", (-20.0, -40.0, 60.0, 30.0), "2024-01-03", "2024-01-20",
                     equals={"landsat:wrs_path": 77}, assets=["red"])
@@ -150,9 +153,9 @@ def filtered_search(spark, sf_dir):
 
 
 _SEARCH_REQ = """req AS (SELECT c_custkey AS request_id, CASE c_custkey % 4 WHEN 0 THEN 'sentinel-2-l2a' WHEN 1 THEN 'landsat-c2-l2' WHEN 2 THEN 'hls-l30' ELSE 'opera-dswx-hls' END AS source_id,
- CAST(c_custkey % 260 - 130 AS DOUBLE) AS rx, CAST(c_custkey % 100 - 50 AS DOUBLE) AS ry, DATE '2024-01-01' + CAST(c_custkey % 20 AS INT) AS s, DATE '2024-01-01' + CAST(c_custkey % 20 + 10 AS INT) AS e FROM customer),
-hits AS (SELECT r.request_id, n.item_id FROM req r JOIN norm n ON n.source_id = r.source_id AND n.minx <= r.rx + 20 AND n.minx + 1 >= r.rx AND n.miny <= r.ry + 20 AND n.miny + 2 >= r.ry
- AND CAST(n.dt AS DATE) BETWEEN r.s AND r.e)"""
+ CAST(c_custkey % 260 - 130 AS DOUBLE) AS rx, CAST(c_custkey % 100 - 50 AS DOUBLE) AS ry, CASE WHEN c_custkey % 13 <> 0 THEN DATE '2024-01-01' + CAST(c_custkey % 20 AS INT) END AS s, DATE '2024-01-01' + CAST(c_custkey % 20 + 10 AS INT) AS e FROM customer),
+hits AS (SELECT r.request_id, n.item_id FROM req r JOIN norm n ON n.source_id = r.source_id AND n.minx <= r.rx + 20 AND n.maxx >= r.rx AND n.miny <= r.ry + 20 AND n.maxy >= r.ry
+ AND (r.s IS NULL OR CAST(n.dt AS DATE) BETWEEN r.s AND r.e))"""
 
 
 def _search_requests(spark, sf_dir):
@@ -162,7 +165,7 @@ def _search_requests(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(
         k.alias("request_id"), F.element_at(F.lit(list(_FEATURE_SOURCES)), (k % 4 + 1).cast("int")).alias("source_id"),
         F.struct(x.alias("minx"), y.alias("miny"), (x + 20).alias("maxx"), (y + 20).alias("maxy")).alias("box"),
-        F.date_add(day, (k % 20).cast("int")).alias("start"), F.date_add(day, (k % 20 + 10).cast("int")).alias("end"))
+        F.when(k % 13 != 0, F.date_add(day, (k % 20).cast("int"))).alias("start"), F.date_add(day, (k % 20 + 10).cast("int")).alias("end"))
 
 
 @query("s4_many_searches", f"WITH {_NORM_SQL}, {_SEARCH_REQ} SELECT request_id, item_id FROM hits")
@@ -280,7 +283,7 @@ def _rings(spark, sf_dir):
     k = F.col("c_custkey")
     cx, cy, r = (k % 160 - 80).cast("double"), (k % 100 - 50).cast("double"), (k % 9 + 2).cast("double")
     steps = ((1, 0), (0.5, 1), (-0.5, 1), (-1, 0), (-0.5, -1), (0.5, -1), (1, 0))
-    return spread(table(spark, sf_dir, "customer")).select(k.alias("area_id"), F.array(*[F.struct((cx + r * a).alias("x"), (cy + r * b).alias("y")) for a, b in steps]).alias("ring"))
+    return (table(spark, sf_dir, "customer")).select(k.alias("area_id"), F.array(*[F.struct((cx + r * a).alias("x"), (cy + r * b).alias("y")) for a, b in steps]).alias("ring"))
 
 
 @query("g8_points_in_polygons", f"""WITH {_ELEMENT_SQL}, pt AS (SELECT DISTINCT CASE WHEN way THEN 'way/' ELSE 'node/' END || CAST(k AS VARCHAR) AS osm_id, CAST((k * 5) % 170 AS DOUBLE) + 0.37 - 80 AS x, CAST((k * 3) % 90 AS DOUBLE) + 0.4 - 50 AS y FROM el WHERE (NOT way AND k % 3 <> 0) OR k % 3 = 0),

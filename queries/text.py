@@ -171,7 +171,7 @@ def accuracy(spark, sf_dir):
 _GRID_SQL = f"""{_CASE_SQL}, g AS (SELECT th, mg, ad FROM (VALUES {', '.join(f'({t})' for t in M.THRESHOLDS)}) a(th), (VALUES {', '.join(f'({m})' for m in M.MARGINS)}) b(mg), (VALUES {', '.join(f'({a})' for a in M.ADDS)}) c(ad)),
 rl AS (SELECT q_id, list(rule ORDER BY rn) AS rs, list(score ORDER BY rn) AS ss FROM rk GROUP BY 1),
 pg AS (SELECT cs.*, th::DOUBLE AS th, mg::DOUBLE AS mg, ad::DOUBLE AS ad, CASE WHEN len(kwr) > 0 THEN CASE WHEN ss[1] >= ad::DOUBLE AND NOT list_contains(kwr, rs[1]) THEN list_append(kwr, rs[1]) ELSE kwr END
- WHEN ss[1] < th::DOUBLE OR ss[1] <= ns THEN CAST([] AS INT[]) ELSE list_filter(rs, lambda x, i: ss[i] >= ss[1] - mg::DOUBLE AND ss[i] >= th::DOUBLE) END AS p FROM cs JOIN rl USING (q_id), g),
+ WHEN ss[1] < th::DOUBLE OR ss[1] <= ns THEN CAST([] AS INT[]) ELSE list_filter(rs, lambda x, i: ss[i] >= ss[1] - mg::DOUBLE AND ss[i] >= th::DOUBLE) END AS p FROM cs JOIN rl USING (q_id), g WHERE cs.split = 'tune'),
 sc AS (SELECT th, mg, ad, count(*) FILTER ({_OK.format(p='p')}) AS ok, count(*) AS n FROM pg GROUP BY 1, 2, 3)"""
 
 
@@ -185,11 +185,11 @@ def best_setting(spark, sf_dir):
     return M.best_setting(M.grid_search(_best(spark, sf_dir).where("rule <> 9"), _cases(spark, sf_dir)))
 
 
-@query("x8_pooled_vectors", """WITH t AS (SELECT vec_id // 5 AS q_id, embedding[1:8] AS v, CASE WHEN vec_id % 5 = 4 THEN 0.0 ELSE 1.0 END::DOUBLE AS m FROM embeddings),
-d AS (SELECT q_id, i AS dim, sum(v[i + 1]::DOUBLE * m) / greatest(sum(m), 1e-9) AS x FROM t, range(8) r(i) GROUP BY 1, 2)
+@query("x8_pooled_vectors", """WITH t AS (SELECT vec_id // 5 AS q_id, embedding AS v, CASE WHEN vec_id % 5 = 4 THEN 0.0 ELSE 1.0 END::DOUBLE AS m FROM embeddings),
+d AS (SELECT q_id, i AS dim, sum(v[i + 1]::DOUBLE * m) / greatest(sum(m), 1e-9) AS x FROM t, range(64) r(i) GROUP BY 1, 2)
 SELECT q_id, CAST(dim AS INT) AS dim, round(x / greatest(sqrt(sum(x * x) OVER (PARTITION BY q_id)), 1e-12), 5) AS x FROM d""")
 def pooled(spark, sf_dir):
     # the tokens of one sentence: five per sentence
-    t = table(spark, sf_dir, "embeddings").groupBy(F.expr("vec_id div 5").alias("q_id")).agg(F.sort_array(F.collect_list(F.struct("vec_id", F.slice("embedding", 1, 8).alias("v")))).alias("l"))
+    t = table(spark, sf_dir, "embeddings").groupBy(F.expr("vec_id div 5").alias("q_id")).agg(F.sort_array(F.collect_list(F.struct("vec_id", F.col("embedding").alias("v")))).alias("l"))
     p = M.pooled(F.transform("l", lambda s: s["v"]), F.transform("l", lambda s: F.when(s["vec_id"] % 5 == 4, 0.0).otherwise(1.0)))
     return t.select("q_id", F.posexplode(p).alias("dim", "x")).select("q_id", "dim", F.round("x", 5).alias("x"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tilewright.functions.bind import let
+from tilewright.functions.polygons import ring_edges, rings_edges
 
 MAX_SIDE = 60
 
@@ -37,10 +38,16 @@ def ring_words(ring: Column, ox: Column, oy: Column, cell: Column, nx: int, ny:
 
     Per grid row the crossings of the centre line are sorted, and consecutive pairs become bit spans.
     """
-    edges = let(ring, lambda q: F.zip_with(
-        F.slice(q, 1, F.size(q) - 1), F.slice(q, 2, F.size(q) - 1),
-        lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by"))))
+    return edge_words(let(ring, ring_edges), ox, oy, cell, nx, ny)
 
+
+def rings_words(rings: Column, ox: Column, oy: Column, cell: Column, nx: int, ny: int) -> Column:
+    """Words of an area of several rings, parts and holes alike: a centre lies inside if an odd number of rings hold it."""
+    return edge_words(rings_edges(rings), ox, oy, cell, nx, ny)
+
+
+def edge_words(edges: Column, ox: Column, oy: Column, cell: Column, nx: int, ny: int) -> Column:
+    """Words of the area whose border is the given edges (ax, ay, bx, by)."""
     def spans(starts):
         pairs = F.transform(F.sequence(F.lit(1), (F.size(starts) / 2).cast("int")), lambda k: span(
             F.greatest(F.element_at(starts, (2 * k - 1).cast("int")), F.lit(0)),

@@ -30,6 +30,18 @@ def box_area(a: Column) -> Column:
     return (a["maxx"] - a["minx"]) * (a["maxy"] - a["miny"])
 
 
+def rings_of(kind: Column, coordinates: Column) -> Column:
+    """All rings of a Polygon or MultiPolygon from the JSON text of its coordinates, as points; null for other geometries."""
+    one = F.when(kind == "Polygon", F.from_json(coordinates, "array<array<array<double>>>"))
+    many = F.when(kind == "MultiPolygon", F.flatten(F.from_json(coordinates, "array<array<array<array<double>>>>")))
+    return F.transform(F.coalesce(one, many), lambda ring: F.transform(ring, lambda c: F.struct(F.get(c, F.lit(0)).alias("x"), F.get(c, F.lit(1)).alias("y"))))
+
+
+def rings_edges(rings: Column) -> Column:
+    """Edges of all rings of an area."""
+    return F.flatten(F.transform(rings, ring_edges))
+
+
 def ring_edges(ring: Column) -> Column:
     return F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1),
                       lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))

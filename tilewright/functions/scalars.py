@@ -13,9 +13,10 @@ def _ascii_part(c: str) -> str:
     return unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
 
 
-# accented Latin letter -> base letter, by compatibility decomposition
-_FOLD = {chr(c): _ascii_part(chr(c)) for c in range(0x80, 0x10000)
-         if not 0xD800 <= c < 0xE000 and len(_ascii_part(chr(c))) == 1}
+# letter -> its ASCII letters by compatibility decomposition: one letter each, and those that give several or lie above U+FFFF
+_PARTS = {chr(c): _ascii_part(chr(c)) for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000 and _ascii_part(chr(c))}
+_FOLD = {c: a for c, a in _PARTS.items() if len(a) == 1 and c < "\U00010000"}
+_EXPAND = {c: a for c, a in _PARTS.items() if c not in _FOLD}
 
 
 def epsg_code(numeric: Column, code: Column) -> Column:
@@ -75,7 +76,10 @@ def cache_name(url: Column) -> Column:
 
 def slug(text: Column) -> Column:
     """ASCII-folded lower-case words joined by '-'."""
-    folded = F.translate(text, "".join(_FOLD), "".join(_FOLD.values()))
+    several = F.create_map(*[F.lit(x) for kv in _EXPAND.items() for x in kv])
+    spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(several, c), c)), "")
+    rare = F.rlike(text, F.lit("[" + "".join(_EXPAND) + "]"))
+    folded = F.translate(F.when(rare, spelled).otherwise(text), "".join(_FOLD), "".join(_FOLD.values()))
     ascii_only = F.regexp_replace(folded, r"[^\x00-\x7f]", "")
     dashed = F.regexp_replace(F.lower(ascii_only), "[^a-z0-9]+", "-")
     return F.coalesce(F.nullif(F.regexp_replace(dashed, "^-+|-+$", ""), F.lit("")), F.lit("project"))
@@ -118,6 +122,14 @@ def windowed_bytes(size: Column, fraction: Column) -> Column:
     return F.floor(size * fraction).cast("bigint") + F.lit(V.WINDOW_OVERHEAD_BYTES).cast("bigint")
 
 
+def share_of(total: Column, part: Column, whole: Column) -> Column:
+    """floor(total * part / whole) of byte counts and file counts; the product is exact, whatever its size."""
+    wide = lambda c: c.cast("decimal(19,0)")
+    product = wide(total) * wide(part)
+    rest = F.pmod(product, wide(whole))
+    return ((product - rest) / wide(whole)).cast("bigint")
+
+
 def nodata_value(dtype: Column, declared: Column, override: Column) -> Column:
     extreme = F.create_map(*[F.lit(x) for kv in V.DTYPE_NODATA.items() for x in kv])
     return F.coalesce(declared, override, F.try_element_at(extreme, dtype), F.lit(-9999.0))

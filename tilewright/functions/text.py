@@ -37,6 +37,9 @@ LOWER_PATTERN = rf"(?:{'|'.join(V.LOWERCASE_PREPOSITIONS)})\s+({LOWER_NAME}(?:\s
 _OPEN, _CLOSE = "\u0001", "\u0002"
 
 
+_MOST_DAYS = 700_000
+
+
 def _whole(p: str) -> str:
     return rf"(?U)\b{p}\b"
 
@@ -83,9 +86,10 @@ def parse_period(text: Column, today: dt.date) -> Column:
     def of_last(m):
         word = part("last n", m, 1)
         spelled = F.create_map(*[F.lit(x) for kv in V.NUMBER_WORDS.items() for x in kv])
-        n = F.coalesce(F.try_element_at(spelled, word), word.try_cast("int"))
-        days = n * F.when(part("last n", m, 2).startswith("year"), 365).otherwise(30)
-        return period(F.date_sub(now, days), now, m)
+        n = F.coalesce(F.try_element_at(spelled, word).cast("bigint"), word.try_cast("bigint"))
+        days = F.try_multiply(n, F.when(part("last n", m, 2).startswith("year"), F.lit(365)).otherwise(30).cast("bigint"))
+        # a number that leads before the calendar names no period
+        return F.when(days < _MOST_DAYS, period(F.date_sub(now, F.least(days, F.lit(_MOST_DAYS)).cast("int")), now, m))
 
     def of_monsoon(m):
         y = F.lit(today.year if today >= dt.date(today.year, 6, 1) else today.year - 1)

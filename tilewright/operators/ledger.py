@@ -46,7 +46,7 @@ def remaining(estimates: DataFrame, missing: DataFrame, from_library: DataFrame)
     n, zero = F.col("n_assets"), F.lit(0)
     j = (estimates.join(m, "plan_id", "left").join(h, "plan_id", "left").withColumn("n_missing", F.coalesce("n_missing", zero))
          .withColumn("from_library", F.coalesce("from_library", zero)))
-    todo = F.floor(F.col("windowed_bytes") * (F.col("n_missing") - F.col("from_library")) / n).cast("bigint")
+    todo = S.share_of(F.col("windowed_bytes"), F.col("n_missing") - F.col("from_library"), n)
     return j.withColumn("present", n - F.col("n_missing")).withColumn("to_fetch_bytes", F.when(n > 0, todo).otherwise(0)).drop("n_missing")
 
 

@@ -116,10 +116,11 @@ def grid_search(best: DataFrame, cases: DataFrame) -> DataFrame:
     """Right answers for every setting of the three thresholds, best setting first.
 
     The settings (a fixed 15 x 4 x 6 list) are an array literal exploded per question and summed on the map side; nothing is
-    shuffled but one row per setting and task.  cases: q_id, kw, null_score, primary, allowed.
+    shuffled but one row per setting and task.  Only the tuning half counts; the rest stays held out.
+    cases: q_id, kw, null_score, primary, allowed, split.
     """
     grid = F.array(*[F.struct(F.lit(t).alias("threshold"), F.lit(m).alias("margin"), F.lit(a).alias("add")) for t in THRESHOLDS for m in MARGINS for a in ADDS])
-    j = _ranked(best).join(cases, "q_id").select("*", F.explode(grid).alias("g"))
+    j = _ranked(best).join(cases.where("split = 'tune'"), "q_id").select("*", F.explode(grid).alias("g"))
     ok = correct(predict(F.col("ranked"), F.col("kw"), F.col("null_score"), F.col("g.threshold"), F.col("g.margin"), F.col("g.add")), F.col("primary"), F.col("allowed"))
     return j.groupBy("g.threshold", "g.margin", "g.add").agg(F.count_if(ok).alias("ok"), F.count("*").alias("n"))
 

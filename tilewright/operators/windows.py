@@ -117,7 +117,7 @@ def nearest_hazard(areas: DataFrame, hazards: DataFrame, radius: float = V.HAZAR
     dist = F.sqrt(F.pow(F.col("lon") - F.col("cx"), 2) + F.pow(F.col("lat") - F.col("cy"), 2))
     near = (seen.join(placed, ["code", "_gx", "_gy"]).withColumn("_dist", dist)
             .where((F.col("_dist") <= radius) & F.col("hazard_start").between(F.col("start"), F.col("end"))))
-    best = F.min(F.struct(F.round("_dist", 2).alias("distance_deg"), "hazard_id", "hazard_name", "hazard_start"))
+    best = F.min(F.struct(F.bround("_dist", 2).alias("distance_deg"), "hazard_id", "hazard_name", "hazard_start"))
     return near.groupBy("area_id").agg(best.alias("b"), F.count("*").alias("n_near")).select("area_id", "b.*", "n_near")
 
 

@@ -36,14 +36,18 @@ def tile_name(top: Column, left: Column) -> Column:
 
 
 def tile_grid(areas: DataFrame, step: Column) -> DataFrame:
-    """Tiles of a fixed longitude/latitude grid that meet an area's box.  areas: area_id, box; adds tile, tile_box, fraction."""
+    """Tiles of a fixed longitude/latitude grid that meet an area's box.  areas: area_id, box; adds tile, tile_box, and fraction, the
+    share of the tile that the area's box takes."""
     b = F.col("box")
-    tops = F.sequence((F.ceil(b["maxy"] / step) * step).cast("int"), (F.floor(b["miny"] / step) * step + step).cast("int"), -step)
-    lefts = F.sequence((F.floor(b["minx"] / step) * step).cast("int"), (F.ceil(b["maxx"] / step) * step - step).cast("int"), step)
+    top, left = (F.ceil(b["maxy"] / step) * step).cast("int"), (F.floor(b["minx"] / step) * step).cast("int")
+    # a box without height or width may lie on a grid line; it then has the tile below or to the right of it
+    tops = F.sequence(top, F.least(top, (F.floor(b["miny"] / step) * step + step).cast("int")), -step)
+    lefts = F.sequence(left, F.greatest(left, (F.ceil(b["maxx"] / step) * step - step).cast("int")), step)
     t = (areas.withColumn("step_deg", step).withColumn("top", F.explode(tops)).withColumn("left", F.explode(lefts)))
     box = F.struct(F.col("left").cast("double").alias("minx"), (F.col("top") - F.col("step_deg")).cast("double").alias("miny"),
                    (F.col("left") + F.col("step_deg")).cast("double").alias("maxx"), F.col("top").cast("double").alias("maxy"))
     return (t.withColumn("tile_box", box).where(P.boxes_touch(F.col("tile_box"), F.col("box")))
+            .withColumn("fraction", P.box_overlap(F.col("tile_box"), b) / P.box_area(F.col("tile_box")))
             .withColumn("tile", tile_name(F.col("top"), F.col("left"))))
 
 
@@ -79,7 +83,7 @@ def rescale_kept(before: DataFrame, kept: DataFrame, *keys: str) -> DataFrame:
     """Estimate of a plan of which only some windows are kept: windowed bytes scale with the full bytes kept."""
     k = kept.groupBy(*keys).agg(F.count("*").alias("n_assets"), F.coalesce(F.sum("size"), F.lit(0)).alias("kept_bytes"),
                                 F.count_if(F.col("size").isNull()).alias("unknown"))
-    full = F.coalesce(F.nullif("full_bytes", F.lit(0).cast("bigint")), F.lit(1))
+    full = F.coalesce(F.nullif("full_bytes", F.lit(0).cast("bigint")), F.lit(1).cast("bigint"))
     return k.join(before.select(*keys, "full_bytes", "windowed_bytes"), [*keys]).select(
         *keys, "n_assets", F.col("kept_bytes").alias("full_bytes"),
-        F.floor(F.col("windowed_bytes") * F.col("kept_bytes") / full).cast("bigint").alias("windowed_bytes"), "unknown")
+        S.share_of(F.col("windowed_bytes"), F.col("kept_bytes"), full).alias("windowed_bytes"), "unknown")

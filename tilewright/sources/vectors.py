@@ -11,11 +11,13 @@ RING = "array<struct<x:double,y:double>>"
 
 
 def read_collection(spark: SparkSession, path: str) -> DataFrame:
-    """Polygon features of GeoJSON collections, one row per feature, attributes as a map."""
-    schema = """features ARRAY<STRUCT<properties:MAP<STRING,STRING>,geometry:STRUCT<type:STRING,coordinates:ARRAY<ARRAY<ARRAY<DOUBLE>>>>>>"""
+    """Polygon and MultiPolygon features of GeoJSON collections, one row per feature, attributes as a map; `rings` holds all
+    rings, `ring` the first."""
+    schema = """features ARRAY<STRUCT<properties:MAP<STRING,STRING>,geometry:STRUCT<type:STRING,coordinates:STRING>>>"""
     raw = spark.read.schema(schema).option("multiLine", True).json(path)
     f = raw.select(F.explode("features").alias("f")).select("f.properties", F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("c"))
-    return f.select("properties", "geometry_type", to_ring(F.get("c", F.lit(0))).alias("ring"))
+    rings = P.rings_of(F.col("geometry_type"), F.col("c"))
+    return f.select("properties", "geometry_type", rings.alias("rings")).withColumn("ring", F.get("rings", F.lit(0)))
 
 
 def to_ring(coordinates: Column) -> Column:
@@ -104,16 +106,19 @@ def hazards(features: DataFrame) -> DataFrame:
 def area_frames(polygons: DataFrame, side: int = B.MAX_SIDE) -> DataFrame:
     """Areas of interest: polygons of one area dissolved on an equal-area frame of `side` x `side` cells.
 
-    polygons: area_id, ring (longitude/latitude).  Returns the frame origin, cell size, words, km² and bounds.
+    polygons: area_id, and ring or rings (longitude/latitude; holes and parts in `rings`).  Returns the frame origin, cell size,
+    words, km² and bounds.
     """
-    pts = polygons.select("area_id", F.explode("ring").alias("p"))
+    if "rings" not in polygons.columns:
+        polygons = polygons.withColumn("rings", F.array("ring"))
+    pts = polygons.select("area_id", F.explode(F.flatten("rings")).alias("p"))
     bounds = pts.groupBy("area_id").agg(*[fn(F.col(f"p.{a}")).alias(n) for fn, a, n in (
         (F.min, "x", "minx"), (F.min, "y", "miny"), (F.max, "x", "maxx"), (F.max, "y", "maxy"))])
     ox, oy = G.equal_area_x(F.col("minx")), G.equal_area_y(F.col("miny"))
     cell = F.greatest(G.equal_area_x(F.col("maxx")) - ox, G.equal_area_y(F.col("maxy")) - oy) / side
     frames = bounds.withColumn("ox", ox).withColumn("oy", oy).withColumn("cell", cell)
     laid = polygons.join(frames, "area_id").withColumn(
-        "words", B.ring_words(G.project_ring(F.col("ring")), F.col("ox"), F.col("oy"), F.col("cell"), side, side))
+        "words", B.rings_words(F.transform("rings", G.project_ring), F.col("ox"), F.col("oy"), F.col("cell"), side, side))
     merged = B.dissolve(laid, ["area_id"], "words", side, F.count("*").alias("n_parts"))
     return merged.join(frames, "area_id").withColumn("area_km2", B.cells(F.col("words")) * F.col("cell") * F.col("cell") / 1e6)
 
