@@ -247,14 +247,18 @@ _ISLANDS = """isl AS (SELECT {k}, y, y - row_number() OVER (PARTITION BY {k} ORD
 runs AS (SELECT {k}, string_agg(r, ', ' ORDER BY a) AS runs FROM (SELECT {k}, min(y) AS a, CASE WHEN min(y) = max(y) THEN CAST(min(y) AS VARCHAR) ELSE CAST(min(y) AS VARCHAR) || '–' || CAST(max(y) AS VARCHAR) END AS r FROM isl GROUP BY {k}, g) GROUP BY {k})"""
 
 
-@query("j13_t6_attention", f"""WITH {_VW_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY label) AS rn, count(*) OVER (PARTITION BY plan_id) AS n FROM vw WHERE verdict IN ('infeasible', 'incomplete', 'feasible-composite')),
-o AS (SELECT plan_id, source_id, label FROM vw WHERE verdict = 'out-of-range' AND plan_id % 4 <> 0), {_ISLANDS.format(k='plan_id', t='o')}
+@query("j13_t6_attention", f"""WITH {_VW_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY label) AS rn, count(*) OVER (PARTITION BY plan_id) AS n FROM vw WHERE verdict IN ('infeasible', 'incomplete', 'feasible-composite') AND plan_id % 11 <> 0),
+o AS (SELECT plan_id, source_id, label FROM vw WHERE verdict = 'out-of-range' AND plan_id % 4 <> 0 AND plan_id % 11 <> 0), {_ISLANDS.format(k='plan_id', t='o')}
 SELECT plan_id, source_id, replace(verdict, 'feasible-', '') AS level, label || ': why ' || label AS text FROM b WHERE rn <= 3
 UNION ALL SELECT DISTINCT plan_id, source_id, 'incomplete', '… ' || CAST(n - 3 AS VARCHAR) || ' more windows (details in the plan file)' FROM b WHERE n > 3
-UNION ALL SELECT DISTINCT o.plan_id, o.source_id, 'uncovered', 'no registered source has data for ' || runs FROM o JOIN runs USING (plan_id)""")
+UNION ALL SELECT DISTINCT o.plan_id, o.source_id, 'uncovered', CASE WHEN o.plan_id % 3 = 0 THEN 'fire/series, water/static: ' WHEN o.plan_id % 3 = 1 THEN 'water/static: ' ELSE '' END || 'no registered source has data for ' || runs FROM o JOIN runs USING (plan_id)""")
 def attention(spark, sf_dir):
     w = _verdict_windows(spark, sf_dir)
-    return Q.attention(w, w.where("verdict = 'out-of-range' AND plan_id % 4 = 0").select("plan_id", "label"))
+    plans = w.select("plan_id").distinct()
+    needs = plans.where("plan_id % 3 < 2").selectExpr("plan_id", "'water' AS theme", "'static' AS temporal").union(
+        plans.where("plan_id % 3 = 0").selectExpr("plan_id", "'fire' AS theme", "'series' AS temporal"))
+    filled = w.where("verdict = 'out-of-range' AND plan_id % 4 = 0").select("plan_id", "label")
+    return Q.attention(w, filled, needs, plans.where("plan_id % 11 = 0"))
 
 
 @query("a17_w5_year_runs", f"WITH {_VW_SQL}, {_ISLANDS.format(k='plan_id', t='vw')} SELECT plan_id, runs FROM runs")
@@ -262,10 +266,16 @@ def year_runs(spark, sf_dir):
     return Q.year_runs(_verdict_windows(spark, sf_dir), "plan_id")
 
 
-@query("a15_verdict_histogram", f"""WITH {_VW_SQL}, c AS (SELECT source_id, {', '.join(f"CAST(count(*) FILTER (verdict = '{v}') AS BIGINT) AS v{i}" for i, v in enumerate(V.VERDICTS))} FROM vw GROUP BY 1)
-SELECT source_id, concat_ws(' ', {', '.join(f"CASE WHEN v{i} > 0 THEN '{v.replace('feasible-', '')}×' || CAST(v{i} AS VARCHAR) END" for i, v in enumerate(V.VERDICTS))}) AS summary FROM c""")
+@query("a15_verdict_histogram", f"""WITH {_VW_SQL},
+vk AS (SELECT 'source ' || source_id AS k, label, verdict FROM vw UNION ALL SELECT 'plan ' || CAST(plan_id AS VARCHAR), label, verdict FROM vw),
+c AS (SELECT k, count(*) AS n, string_agg(label || '=' || replace(verdict, 'feasible-', ''), ', ' ORDER BY label) AS named, min(label) || '…' || max(label) AS span,
+ {', '.join(f"CAST(count(*) FILTER (verdict = '{v}') AS BIGINT) AS v{i}" for i, v in enumerate(V.VERDICTS))} FROM vk GROUP BY 1)
+SELECT k, CASE WHEN n <= 4 THEN named ELSE concat_ws(' ', {', '.join(f"CASE WHEN v{i} > 0 THEN '{v.replace('feasible-', '')}×' || CAST(v{i} AS VARCHAR) END" for i, v in enumerate(V.VERDICTS))}) || '  (' || span || ')' END AS summary FROM c""")
 def verdict_histogram(spark, sf_dir):
-    return Q.verdict_histogram(_verdict_windows(spark, sf_dir), "source_id").select("source_id", "summary")
+    """By source, many windows each, and by plan, a year or two each."""
+    w = _verdict_windows(spark, sf_dir)
+    by = lambda key, word: Q.verdict_histogram(w, key).select(F.concat(F.lit(word), F.col(key).cast("string")).alias("k"), "summary")
+    return by("source_id", "source ").unionByName(by("plan_id", "plan "))
 
 
 @query("a16_worst_verdict", f"""WITH {_VW_SQL} SELECT plan_id, ['ok', 'composite', 'incomplete', 'infeasible'][max(CASE verdict WHEN 'infeasible' THEN 4 WHEN 'incomplete' THEN 3 WHEN 'out-of-range' THEN 3 WHEN 'feasible-composite' THEN 2 ELSE 1 END)] AS worst FROM vw GROUP BY 1""")

@@ -20,8 +20,7 @@ def _events(spark, sf_dir):
 def new_items(spark, sf_dir):
     s = _events(spark, sf_dir).selectExpr(*ITEM_EXPR).withColumn("item_id", F.col("item_id") % 1500)
     out = shared_folder(spark, "new-items")
-    feeds.run_available(feeds.new_items(s, "60 days").select("source_id", "item_id", "dt"), f"{out}/data", f"{out}/checkpoint")
-    return spark.read.parquet(f"{out}/data").select("source_id", "item_id")
+    return feeds.keep_new_items(s.select("source_id", "item_id", "dt"), f"{out}/data", f"{out}/checkpoint").select("source_id", "item_id")
 
 
 @query("i2_best_scene_per_month_stream", f"""WITH {ITEMS_SQL}, r AS (SELECT *, strftime(d, '%Y-%m') AS label, coalesce(cloud_cover, 100) AS cloud, row_number() OVER (PARTITION BY source_id, tile, strftime(d, '%Y-%m') ORDER BY coalesce(cloud_cover, 100), d, item_id) AS rn,
@@ -42,11 +41,17 @@ def library_log(spark, sf_dir):
 
 @query("i4_refresh_finds_only_new", f"""WITH {ITEMS_SQL} SELECT item_id FROM items WHERE item_id NOT IN (SELECT item_id FROM items WHERE d < DATE '2024-07-01')""")
 def refresh(spark, sf_dir):
-    """Two runs of one stream: the first saw items up to July; after the second, the gap join keeps what is new."""
+    """Two runs of one stream: items of July and later are published between them; the gap join keeps what the second run added."""
     from tilewright.operators import ledger
     out = shared_folder(spark, "refresh")
-    s = _events(spark, sf_dir).selectExpr(*ITEM_EXPR).select(F.col("item_id").alias("item"), F.lit("red").alias("asset"), "d")
-    feeds.run_available(s, f"{out}/data", f"{out}/checkpoint")
-    feeds.run_available(s, f"{out}/data", f"{out}/checkpoint")  # nothing new: the checkpoint remembers
-    seen = spark.read.parquet(f"{out}/data")
-    return ledger.gaps(seen, seen.where("d < DATE '2024-07-01'")).select(F.col("item").alias("item_id"))
+    all_items = table(spark, sf_dir, "events").selectExpr(*ITEM_EXPR).select(F.col("item_id").alias("item"), F.lit("red").alias("asset"), "d")
+    publish = lambda some, mode: some.write.mode(mode).parquet(f"{out}/feed")
+    publish(all_items.where("d < DATE '2024-07-01'"), "error")
+    stream = feeds.read_stream(spark, f"{out}/feed", all_items.schema)
+    feeds.run_available(stream, f"{out}/data", f"{out}/checkpoint")
+    before = spark.read.parquet(f"{out}/data")
+    had = before.select("item", "asset").withColumn("run", F.lit(1))
+    had.write.parquet(f"{out}/before")
+    publish(all_items.where("d >= DATE '2024-07-01'"), "append")
+    feeds.run_available(stream, f"{out}/data", f"{out}/checkpoint")
+    return ledger.gaps(spark.read.parquet(f"{out}/data"), spark.read.parquet(f"{out}/before")).select(F.col("item").alias("item_id"))

@@ -139,3 +139,14 @@ def test_scalar_rules(spark):
 def test_epsg(spark, declared, code, want):
     r = spark.createDataFrame([(declared, code)], "n int, c string").select(S.epsg_code(F.col("n"), F.col("c"))).collect()[0][0]
     assert r == want
+
+
+def test_items_published_late_are_kept(spark, tmp_path):
+    """Three batches; the last brings an item dated months before, a repeat and a repeat within itself."""
+    rows = [[("s", "a", "2024-05-01"), ("s", "b", "2024-05-02")], [("s", "c", "2024-06-20"), ("t", "a", "2024-06-21")], [("s", "late", "2024-01-03"), ("s", "a", "2024-05-01"), ("s", "d", "2024-06-22"), ("s", "d", "2024-06-22")]]
+    src = str(tmp_path / "feed")
+    schema = "source_id string, item_id string, dt string"
+    for k, batch in enumerate(rows):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
+        got = feeds.keep_new_items(feeds.read_stream(spark, src, spark.createDataFrame([], schema).schema, max_files=1), str(tmp_path / "out"), str(tmp_path / "cp")).collect()
+    assert sorted(map(tuple, got)) == sorted({r for b in rows for r in b})

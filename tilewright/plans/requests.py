@@ -79,11 +79,15 @@ def _first_windows(bad: DataFrame, entry: Column, first: int) -> DataFrame:
     return bad.groupBy("plan_id", "source_id").agg(F.slice(F.array_sort(F.collect_list(entry)), 1, first).alias("top"), F.count("*").alias("n"))
 
 
-def attention(windows: DataFrame, filled: DataFrame, first: int = 3) -> DataFrame:
+def attention(windows: DataFrame, filled: DataFrame, needs: DataFrame | None = None, complements: DataFrame | None = None, first: int = 3) -> DataFrame:
     """What a user should look at per plan: its first bad windows, how many more there are, and what stays uncovered.
 
     windows: plan_id, source_id, label, w_start, verdict, verdict_text; filled: plan_id, label of gap windows that a complement serves.
+    needs: plan_id, theme, temporal, named before what stays uncovered; complements: plan_id of plans that fill another's gaps, which are
+    reported with that one.
     """
+    if complements is not None:
+        windows = windows.join(complements.select("plan_id").distinct(), "plan_id", "left_anti")
     bad = windows.where(F.col("verdict").isin("infeasible", "incomplete", "feasible-composite"))
     entry = F.struct("w_start", "label", "verdict", "verdict_text")
     top = _first_windows(bad, entry, first)
@@ -94,14 +98,24 @@ def attention(windows: DataFrame, filled: DataFrame, first: int = 3) -> DataFram
     open_ = windows.where("verdict = 'out-of-range'").join(filled.select("plan_id", "label"), ["plan_id", "label"], "left_anti")
     uncovered = open_.groupBy("plan_id", "source_id").agg(F.collect_set(F.substring("label", 1, 4).cast("int")).alias("ys")).select(
         "plan_id", "source_id", F.lit("uncovered").alias("level"), F.concat(F.lit("no registered source has data for "), S.year_runs(F.col("ys"))).alias("text"))
+    if needs is not None:
+        # the needs of a plan are bounded by the vocabulary
+        named = needs.groupBy("plan_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat("theme", F.lit("/"), "temporal"))), ", ").alias("for"))
+        uncovered = uncovered.join(named, "plan_id", "left").select(
+            "plan_id", "source_id", "level", F.when(F.col("for").isNull(), F.col("text")).otherwise(F.concat("for", F.lit(": "), "text")).alias("text"))
     return shown.unionByName(more).unionByName(uncovered)
 
 
 def verdict_histogram(windows: DataFrame, *keys: str) -> DataFrame:
-    """Counts per verdict, and a summary in fixed order without zeros."""
-    counts = windows.groupBy(*keys).agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in V.VERDICTS])
+    """Counts per verdict and a summary: up to four windows each by name, more as counts in fixed order and the span of labels."""
+    counts = windows.groupBy(*keys).agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in V.VERDICTS], F.count("*").alias("_n"),
+                                        F.min(F.struct("w_start", "label"))["label"].alias("_first"), F.max(F.struct("w_start", "label"))["label"].alias("_last"))
     parts = [F.when(F.col(f"`{v}`") > 0, F.concat(F.lit(v.replace("feasible-", "") + "×"), F.col(f"`{v}`").cast("string"))) for v in V.VERDICTS]
-    return counts.withColumn("summary", F.concat_ws(" ", *parts))
+    span = F.concat(F.concat_ws(" ", *parts), F.lit("  ("), "_first", F.lit("…"), "_last", F.lit(")"))
+    few = windows.join(counts.where("_n <= 4").select(*keys), list(keys), "left_semi").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
+        "w_start", "label", F.replace("verdict", F.lit("feasible-")).alias("v")))).alias("_few"))
+    named = F.array_join(F.transform("_few", lambda w: F.concat(w["label"], F.lit("="), w["v"])), ", ")
+    return counts.join(few, list(keys), "left").withColumn("summary", F.when(F.col("_n") > 4, span).otherwise(named)).drop("_n", "_first", "_last", "_few")
 
 
 def worst_verdict(windows: DataFrame, *keys: str) -> DataFrame:

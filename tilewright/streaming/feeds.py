@@ -20,10 +20,29 @@ def read_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parq
 
 
 def new_items(items: DataFrame, delay: str = "2 days") -> DataFrame:
-    """Items seen for the first time; state older than the delay is dropped."""
+    """Items seen for the first time, for feeds ordered by date: what comes later than the delay is dropped with the state.
+    keep_new_items has no such bound."""
     return items.withColumn("dt", F.col("dt").cast("timestamp")).withWatermark("dt", delay).dropDuplicatesWithinWatermark(["source_id", "item_id"])
 
 
+def keep_new_items(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """Items that no earlier batch has brought, however old their date is; each batch is checked against the table so far.
+
+    A catalogue publishes items long after they were acquired, so a watermark on that date would drop them.  A batch that is
+    replayed leaves its own folder out and writes it again.
+    """
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{out}/batch=-1")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        known = spark.read.parquet(out).where(F.col("batch") != batch_id).select("source_id", "item_id")
+        fresh = batch.dropDuplicates(["source_id", "item_id"]).join(known, ["source_id", "item_id"], "left_anti")
+        fresh.select(*stream.columns).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    each_batch(stream, write, checkpoint)
+    return spark.read.parquet(out).drop("batch")
+
+
 def run_available(df: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Append everything available and stop: a refresh reads only what is new since the last one."""
     q = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start()
