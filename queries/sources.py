@@ -286,13 +286,19 @@ def _rings(spark, sf_dir):
     return (table(spark, sf_dir, "customer")).select(k.alias("area_id"), F.array(*[F.struct((cx + r * a).alias("x"), (cy + r * b).alias("y")) for a, b in steps]).alias("ring"))
 
 
+_WAY = 10 ** 15
+
+
 @query("g8_points_in_polygons", f"""WITH {_ELEMENT_SQL}, pt AS (SELECT DISTINCT CASE WHEN way THEN 'way/' ELSE 'node/' END || CAST(k AS VARCHAR) AS osm_id, CAST((k * 5) % 170 AS DOUBLE) + 0.37 - 80 AS x, CAST((k * 3) % 90 AS DOUBLE) + 0.4 - 50 AS y FROM el WHERE (NOT way AND k % 3 <> 0) OR k % 3 = 0),
 pg AS (SELECT c_custkey AS area_id, CAST(c_custkey % 160 - 80 AS DOUBLE) AS cx, CAST(c_custkey % 100 - 50 AS DOUBLE) AS cy, CAST(c_custkey % 9 + 2 AS DOUBLE) AS r FROM customer),
 hit AS (SELECT area_id, osm_id FROM pg JOIN pt ON abs(x - cx) <= r AND abs(y - cy) <= r WHERE abs(x - cx) <= r - 0.5 * abs(y - cy))
-SELECT area_id, CAST(count(*) AS BIGINT) AS n, min(osm_id) AS first_id FROM hit GROUP BY 1""")
+SELECT area_id, CAST(count(*) AS BIGINT) AS n, arg_min(osm_id, CAST(split_part(osm_id, '/', 2) AS BIGINT) + CASE WHEN osm_id LIKE 'way/%' THEN {_WAY} ELSE 0 END) AS first_id FROM hit GROUP BY 1""")
 def points_in_polygons(spark, sf_dir):
-    p = X.map_elements(_elements(spark, sf_dir), "point").select("osm_id", (F.col("x") + 0.37 - 80).alias("x"), (F.col("y") + 0.4 - 50).alias("y")).distinct()
-    return X.clip_points(p, _rings(spark, sf_dir), 1.0).groupBy("area_id").agg(F.count("*").alias("n"), F.min("osm_id").alias("first_id"))
+    way = F.col("osm_id").startswith("way/")
+    key = F.substring_index("osm_id", "/", -1).cast("bigint") + F.when(way, F.lit(_WAY)).otherwise(F.lit(0))  # ways after nodes
+    p = X.map_elements(_elements(spark, sf_dir), "point").select(key.alias("key"), (F.col("x") + 0.37 - 80).alias("x"), (F.col("y") + 0.4 - 50).alias("y")).distinct()
+    first = F.concat(F.when(F.col("first_key") >= _WAY, "way/").otherwise("node/"), (F.col("first_key") % _WAY).cast("string"))
+    return X.count_points(p, _rings(spark, sf_dir), 1.0).select("area_id", "n", first.alias("first_id"))
 
 
 @query("s8_g9_g11_polygons_clipped", """WITH pg AS (SELECT c_custkey AS area_id, CAST(c_custkey % 160 - 80 AS DOUBLE) AS cx, CAST(c_custkey % 100 - 50 AS DOUBLE) AS cy, CAST(c_custkey % 9 + 2 AS DOUBLE) AS r FROM customer),

@@ -150,3 +150,12 @@ def test_items_published_late_are_kept(spark, tmp_path):
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
         got = feeds.keep_new_items(feeds.read_stream(spark, src, spark.createDataFrame([], schema).schema, max_files=1), str(tmp_path / "out"), str(tmp_path / "cp")).collect()
     assert sorted(map(tuple, got)) == sorted({r for b in rows for r in b})
+
+
+def test_points_counted_in_areas_are_those_clipped(spark):
+    from tilewright.sources import vectors as X
+    ring = lambda *p: [dict(x=float(a), y=float(b)) for a, b in (*p, p[0])]
+    areas = spark.createDataFrame([("l", ring((0, 0), (9, 0), (9, 3), (3, 3), (3, 8), (0, 8))), ("t", ring((-4.5, -1), (6, 2.5), (1, 7.2)))], "area_id string, ring array<struct<x:double,y:double>>")
+    points = spark.range(4000).selectExpr("id AS key", "CAST((id * 7) % 163 AS DOUBLE) / 10 - 5 AS x", "CAST((id * 11) % 113 AS DOUBLE) / 10 - 2 AS y")
+    pairs = X.clip_points(points, areas, 1.0).groupBy("area_id").agg(F.count("*").alias("n"), F.min("key").alias("k")).collect()
+    assert sorted(map(tuple, X.count_points(points, areas, 1.0).collect())) == sorted(map(tuple, pairs)) and len(pairs) == 2

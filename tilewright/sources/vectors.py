@@ -74,6 +74,21 @@ def clip_points(points: DataFrame, areas: DataFrame, cell: float) -> DataFrame:
     return placed.join(area_squares(areas, cell), ["gx", "gy"]).where(inside).drop("gx", "gy", "edges")
 
 
+def count_points(points: DataFrame, areas: DataFrame, cell: float) -> DataFrame:
+    """Number of points and smallest key inside each area.  points: key, x, y; areas: area_id, ring.
+
+    Points of one place are added up before they meet an area, and squares wholly inside an area take their points' sums, so
+    only places in squares on an area's edge are paired with it one by one.
+    """
+    g = lambda v: F.floor(F.col(v) / cell).cast("int")
+    places = points.groupBy("x", "y").agg(F.count("*").alias("n"), F.min("key").alias("key")).withColumn("gx", g("x")).withColumn("gy", g("y"))
+    sums = places.groupBy("gx", "gy").agg(F.sum("n").alias("n"), F.min("key").alias("key"))
+    squares = area_squares(areas, cell)
+    whole = squares.where(F.col("edges").isNull()).join(sums, ["gx", "gy"]).select("area_id", "n", "key")
+    edge = squares.where(F.col("edges").isNotNull()).join(places, ["gx", "gy"]).where(P.point_in_edges(F.col("x"), F.col("y"), F.col("edges")))
+    return whole.union(edge.select("area_id", "n", "key")).groupBy("area_id").agg(F.sum("n").alias("n"), F.min("key").alias("first_key"))
+
+
 def clip_polygons(features: DataFrame, box: Column, ring: str = "ring") -> DataFrame:
     """Polygon features cut by a box; features left without area are dropped."""
     cut = features.withColumn(ring, P.clip_ring(F.col(ring), box))
