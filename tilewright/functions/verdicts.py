@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from tilewright import vocab as V
+from tilewright.functions.bind import say
 
 
 def whole(x: Column) -> Column:
@@ -23,23 +24,17 @@ def optical_verdict(observed: Column, single: Column, composite: Column, min_cov
 
 def optical_verdict_text(verdict: Column, observed: Column, single: Column, composite: Column, n_composite: Column,
                          n_scenes: Column, missing: Column, n_tiles: Column, target: float) -> Column:
-    s = lambda c: c.cast("string")
     return (F.when(verdict == "incomplete", F.concat(
-                F.lit("scenes in this window image only "), percent(observed), F.lit(" of the AOI"),
-                F.when(missing > 0, F.concat(F.lit(" ("), s(missing), F.lit(" of "), s(n_tiles), F.lit(" tiles had no acquisition)"))).otherwise("")))
-            .when(verdict == "feasible-single", F.concat(F.lit("one scene per tile reaches "), percent(single), F.lit(" expected clear coverage")))
-            .when(verdict == "feasible-composite", F.concat(
-                F.lit("single scenes give "), percent(single), F.lit(" clear; a "), s(n_composite), F.lit("-scene composite reaches "), percent(composite)))
-            .otherwise(F.concat(
-                F.lit("all "), s(n_scenes), F.lit(" scenes combined reach only "), s(F.floor(composite * 100).cast("bigint")),
-                F.lit(f"% expected clear (target {100 * target:.0f}%); consider SAR, a longer window, or coarser daily optical"))))
+                say("part imaged", percent(observed)), F.when(missing > 0, say("tiles missing", missing, n_tiles)).otherwise("")))
+            .when(verdict == "feasible-single", say("single is enough", percent(single)))
+            .when(verdict == "feasible-composite", say("composite is needed", percent(single), n_composite, percent(composite)))
+            .otherwise(say("cloudy", n_scenes, F.floor(composite * 100).cast("bigint"), F.lit(f"{100 * target:.0f}"))))
 
 
 def selection_reasons(clear: Column, n: Column, cloud: Column, coverage: Column, cloud_max: float, min_coverage: float) -> Column:
     return F.array_compact(F.array(
-        F.concat(F.lit("highest clear fraction "), percent(clear), F.lit(" of "), n.cast("string"), F.lit(" candidates")),
-        F.when(cloud > cloud_max, F.concat(F.lit("best available exceeds cloud threshold ("), whole(cloud), F.lit(f"% > {cloud_max:.0f}%)"))),
-        F.when(coverage < min_coverage, F.concat(F.lit("footprint covers only "), percent(coverage), F.lit(" of tile∩AOI (swath edge)")))))
+        say("clearest", percent(clear), n), F.when(cloud > cloud_max, say("too cloudy", whole(cloud), F.lit(f"{cloud_max:.0f}"))),
+        F.when(coverage < min_coverage, say("swath edge", percent(coverage)))))
 
 
 def out_of_range(n_available: Column, start: Column, end: Column, rec_from: Column, rec_to: Column) -> Column:

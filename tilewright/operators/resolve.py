@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tilewright import vocab as V
+from tilewright.functions.bind import say
 
 
 def covers_box(s_global: Column, s_box: Column, s_iso3: Column, box: Column, iso3: Column) -> Column:
@@ -58,13 +59,13 @@ def candidates(needs: DataFrame, sources: DataFrame, logged_in: bool = False) ->
     prefers = F.coalesce("prefer_cloud_independent", F.lit(False))
     login_ok = F.lit(True) if logged_in else ~F.col("s.needs_login")
     reasons = F.array_compact(F.array(
-        F.concat(F.lit("theme '"), F.col("theme"), F.lit("', "), F.col("s.shape"), F.lit(" data")),
-        F.when(~full, F.concat(F.lit("covers only part of the period ("), F.coalesce("s.temporal.from", F.lit("")), F.lit(" → "), F.coalesce("s.temporal.to", F.lit("now")), F.lit(")"))),
+        say("theme", F.col("theme"), F.col("s.shape")),
+        F.when(~full, say("part of period", F.coalesce("s.temporal.from", F.lit("")), F.coalesce("s.temporal.to", F.lit("now")))),
         F.when(F.col("s.analysis_ready"), F.lit("analysis-ready")),
-        F.when(prefers & ~F.col("s.cloud_dependent"), F.lit("cloud-independent as preferred")),
+        F.when(prefers & ~F.col("s.cloud_dependent"), say("cloud-independent")),
         F.when(F.col("s.resolution_m") > 0, F.concat(F.regexp_replace(F.col("s.resolution_m").cast("string"), r"\.0$", ""), F.lit(" m"))),
         F.concat(F.lit("licence: "), F.col("s.license")),
-        F.when(F.col("s.needs_login"), F.lit("uses your NASA Earthdata token" if logged_in else "needs a free NASA Earthdata token"))))
+        F.when(F.col("s.needs_login"), say("has login" if logged_in else "needs login"))))
     cand = F.when(F.col("s").isNotNull() & some, F.struct(
         flag(login_ok).alias("r1"), flag(full).alias("r2"), flag(F.col("s.analysis_ready")).alias("r3"), flag(~(prefers & F.col("s.cloud_dependent"))).alias("r4"),
         flag(F.col("s.kind") == "raster").alias("r5"), F.coalesce("s.resolution_m", F.lit(1e9)).alias("r6"), F.col("s.pos").alias("pos"), F.col("s.id").alias("id"),
@@ -104,12 +105,10 @@ def resolve(needs: DataFrame, sources: DataFrame, logged_in: bool = False, scene
              .when((n > 0) & F.col("too_big") & all_scenes, "too large").when(n > 0, "login").when(F.col("outside").isNotNull(), "outside period").otherwise("none"))
     first_name = F.get("candidates", F.lit(0))["name"]
     span = F.concat(F.coalesce("outside.from", F.lit("")), F.lit(" to "), F.coalesce("outside.to", F.lit("now")))
-    text = (F.when(F.col("unmet") == "too large", F.concat(F.lit("only scene-by-scene imagery ("), first_name, F.lit(
-                f") provides this, and the area is too large for it (limit {scene_limit:,.0f} km²); name a smaller place")))
-            .when(F.col("unmet") == "login", F.concat(F.lit("available from "), first_name, F.lit(" with a free NASA Earthdata token")))
-            .when(F.col("unmet") == "outside period", F.concat(F.col("outside.name"), F.lit(" is published only from "), span, F.lit(", which does not overlap "), F.substring("start", 1, 7), F.lit("…"),
-                                                               F.substring("end", 1, 7), F.lit("; ask about a period within "), span))
-            .when(F.col("unmet") == "none", F.concat(F.lit("no registered source with theme '"), F.col("theme"), F.lit("' for "), F.col("temporal"), F.lit(" data over this area/period"))))
+    text = (F.when(F.col("unmet") == "too large", say("too large", first_name, F.lit(f"{scene_limit:,.0f}")))
+            .when(F.col("unmet") == "login", say("login", first_name))
+            .when(F.col("unmet") == "outside period", say("outside period", F.col("outside.name"), span, F.substring("start", 1, 7), F.substring("end", 1, 7), span))
+            .when(F.col("unmet") == "none", say("no source", F.col("theme"), F.col("temporal"))))
     return (c.withColumn("unmet", unmet).withColumn("unmet_text", text)
             .withColumn("alternatives", F.transform("candidates", lambda x: x["id"])).drop("first_usable", "outside", "too_big"))
 

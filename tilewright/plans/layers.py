@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tilewright.functions import polygons as P, scalars as S
+from tilewright.functions.bind import say
 
 
 def fill_template(url: Column, **parts: Column) -> Column:
@@ -27,7 +28,7 @@ def file_series_verdicts(files: DataFrame) -> DataFrame:
     """A month whose file has no size is not published yet.  files: keys…, label, size."""
     unpublished = F.col("size").isNull() | (F.col("size") == 0)
     return files.withColumn("verdict", F.when(unpublished, "incomplete").otherwise("feasible-single")).withColumn(
-        "verdict_text", F.when(unpublished, "file not published yet").otherwise("one file, clipped to the AOI"))
+        "verdict_text", F.when(unpublished, say("file unpublished")).otherwise(say("one file")))
 
 
 def tile_name(top: Column, left: Column) -> Column:
@@ -59,16 +60,15 @@ def read_strategy(ranged: Column, fraction: Column) -> Column:
 def vector_verdicts(requests: DataFrame) -> DataFrame:
     """Area cap of live queries.  requests: area_km2, max_area_km2, driver."""
     too_big = F.coalesce((F.col("max_area_km2") > 0) & (F.col("area_km2") > F.col("max_area_km2")), F.lit(False))
-    text = (F.when(too_big, F.concat(F.lit("AOI ("), F.format_string("%,.0f", F.col("area_km2")), F.lit(" km²) exceeds this query's limit ("),
-                                    F.format_string("%,d", F.col("max_area_km2").cast("bigint")), F.lit(" km²); use a smaller AOI")))
-            .when(F.col("driver") == "overpass", "live OpenStreetMap query, clipped to the AOI").otherwise("downloaded and clipped to the AOI"))
+    text = (F.when(too_big, say("area over limit", F.format_string("%,.0f", F.col("area_km2")), F.format_string("%,d", F.col("max_area_km2").cast("bigint"))))
+            .when(F.col("driver") == "overpass", say("live map query")).otherwise(say("downloaded")))
     return (requests.withColumn("verdict", F.when(too_big, "incomplete").otherwise("feasible-single")).withColumn("verdict_text", text)
             .withColumn("n_assets", F.when(too_big, 0).otherwise(1)))
 
 
 def layer_verdict(n_files: Column) -> Column:
-    return F.struct(F.when(n_files > 0, "feasible-single").otherwise("incomplete").alias("verdict"), F.when(n_files > 0, F.concat(
-        n_files.cast("string"), F.lit(" file(s) intersect the AOI"))).otherwise("no tile intersects the AOI").alias("verdict_text"))
+    return F.struct(F.when(n_files > 0, "feasible-single").otherwise("incomplete").alias("verdict"), F.when(n_files > 0, say("files meet", n_files)).otherwise(
+        say("no tile meets")).alias("verdict_text"))
 
 
 def estimate(acquire: DataFrame, *keys: str) -> DataFrame:

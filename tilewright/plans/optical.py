@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tilewright import vocab as V
+from tilewright.functions.bind import say
 from tilewright.functions import bitgrid as B, verdicts as E
 from tilewright.operators.windows import join_windows
 from tilewright.session import write_stage
@@ -157,7 +158,7 @@ def plan_optical(items: DataFrame, area: DataFrame, windows: DataFrame, ny: int,
     sel = (grid.join(best, ["aoi_id", "label", "tile"], "left").join(comp_sum, ["aoi_id", "label", "tile"], "left")
            .withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0)))
            .withColumn("meets_threshold", F.coalesce((F.col("cloud") <= cloud_max) & (F.col("coverage") >= min_coverage), F.lit(False)))
-           .withColumn("reasons", F.when(F.col("item_id").isNull(), F.array(F.lit("no acquisition intersects this tile in the window")))
+           .withColumn("reasons", F.when(F.col("item_id").isNull(), F.array(say("no scene")))
                        .otherwise(E.selection_reasons(F.col("clear"), F.col("n_candidates"), F.col("cloud"), F.col("coverage"), cloud_max, min_coverage))))
     return OpticalPlan(tiles, claimed.where("NOT kept").select("aoi_id", "tile"), cand, sel, comp,
                        window_reports(sel, cand, ny, cloud_max, min_coverage, target))

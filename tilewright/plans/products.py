@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from tilewright import vocab as V
+from tilewright.functions.bind import say
 from tilewright.functions import bitgrid as B, verdicts as E
 from tilewright.operators.windows import join_windows
 from tilewright.plans.optical import in_area
@@ -42,7 +43,7 @@ def plan_products(items: DataFrame, area: DataFrame, windows: DataFrame, ny: int
                .withColumn("n_products", F.coalesce("n_products", F.lit(0))).withColumn("tiles_missing", F.coalesce("tiles_missing", F.lit(0)))
                .withColumn("observed", F.coalesce(F.col("_cells") / F.col("area_cells"), F.lit(0.0)))
                .withColumn("verdict", F.when(F.col("observed") >= min_coverage, "feasible-single").otherwise("incomplete"))
-               .withColumn("verdict_text", F.when(F.col("n_products") == 0, "no product published for this window").otherwise(
-                   F.concat(F.col("n_products").cast("string"), F.lit(" product(s) cover "), E.percent(F.col("observed")), F.lit(" of the AOI"))))
+               .withColumn("verdict_text", F.when(F.col("n_products") == 0, say("no product")).otherwise(
+                   say("products", F.col("n_products"), E.percent(F.col("observed")))))
                .drop("area_cells", "_cells"))
     return ProductPlan(inside.select("aoi_id", "label", "tile", "item_id", "d"), missing, reports)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tilewright import vocab as V
+from tilewright.functions.bind import say
 from tilewright.functions import scalars as S, verdicts as E
 from tilewright.operators.resolve import covers_some
 
@@ -93,11 +94,11 @@ def attention(windows: DataFrame, filled: DataFrame, needs: DataFrame | None = N
     top = _first_windows(bad, entry, first)
     shown = top.select("plan_id", "source_id", F.explode("top").alias("t")).select(
         "plan_id", "source_id", F.replace("t.verdict", F.lit("feasible-"), F.lit("")).alias("level"), F.concat_ws(": ", "t.label", "t.verdict_text").alias("text"))
-    more = top.where(F.col("n") > first).select("plan_id", "source_id", F.lit("incomplete").alias("level"), F.concat(
-        F.lit("… "), (F.col("n") - first).cast("string"), F.lit(" more windows (details in the plan file)")).alias("text"))
+    more = top.where(F.col("n") > first).select("plan_id", "source_id", F.lit("incomplete").alias("level"), say(
+        "more windows", F.col("n") - first).alias("text"))
     open_ = windows.where("verdict = 'out-of-range'").join(filled.select("plan_id", "label"), ["plan_id", "label"], "left_anti")
     uncovered = open_.groupBy("plan_id", "source_id").agg(F.collect_set(F.substring("label", 1, 4).cast("int")).alias("ys")).select(
-        "plan_id", "source_id", F.lit("uncovered").alias("level"), F.concat(F.lit("no registered source has data for "), S.year_runs(F.col("ys"))).alias("text"))
+        "plan_id", "source_id", F.lit("uncovered").alias("level"), say("uncovered", S.year_runs(F.col("ys"))).alias("text"))
     if needs is not None:
         # the needs of a plan are bounded by the vocabulary
         named = needs.groupBy("plan_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat("theme", F.lit("/"), "temporal"))), ", ").alias("for"))
@@ -138,11 +139,9 @@ def why_lines(plans: DataFrame, needs: DataFrame) -> DataFrame:
         F.col("theme"), F.lit("/"), F.col("temporal"), F.lit(" ("), F.col("priority"), F.lit(") ← "), F.col("source_id"), F.lit(": "), F.col("why")).alias("line"))
     w = F.col("fallback_windows")
     b = plans.where(F.col("fallback_for").isNotNull()).select("plan_id", F.concat(
-        F.lit("  ↳ added automatically: "), F.col("fallback_for"), F.lit(" is infeasible (cloud) for "), F.array_join(F.slice(w, 1, 4), ", "),
-        F.when(F.size(w) > 4, F.concat(F.lit(" and "), (F.size(w) - 4).cast("string"), F.lit(" more"))).otherwise("")).alias("line"))
-    c = plans.where(F.col("complement_for").isNotNull()).select("plan_id", F.concat(
-        F.lit("  ↳ added automatically: "), F.col("complement_for"), F.lit(" has no products for "), F.col("gap"), F.lit("; this fills "),
-        F.coalesce(F.nullif("filled", F.lit("")), F.lit("none of them"))).alias("line"))
+        say("fallback", F.col("fallback_for"), F.array_join(F.slice(w, 1, 4), ", ")), F.when(F.size(w) > 4, say("and more", F.size(w) - 4)).otherwise("")).alias("line"))
+    c = plans.where(F.col("complement_for").isNotNull()).select("plan_id", say(
+        "complement", F.col("complement_for"), F.col("gap"), F.coalesce(F.nullif("filled", F.lit("")), F.lit("none of them"))).alias("line"))
     return a.unionByName(b).unionByName(c)
 
 
@@ -156,7 +155,7 @@ def softened(unmet: DataFrame, plans_needs: DataFrame) -> DataFrame:
     """Unmet needs whose theme another plan of the request supplies in another form say so."""
     met = plans_needs.groupBy("request_id").agg(F.collect_set("theme").alias("_themes"))
     j = unmet.join(met, "request_id", "left")
-    soft = F.concat(F.lit("no "), F.col("temporal"), F.lit(" source for this period; '"), F.col("theme"), F.lit("' is supplied in another form above"))
+    soft = say("other form", F.col("temporal"), F.col("theme"))
     return j.withColumn("text", F.when(F.coalesce(F.array_contains("_themes", F.col("theme")), F.lit(False)), soft).otherwise(F.col("why"))).drop("_themes")
 
 

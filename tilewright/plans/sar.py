@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from tilewright import vocab as V
+from tilewright.functions.bind import say
 from tilewright.functions import bitgrid as B, verdicts as E
 from tilewright.operators.windows import join_windows, reference_date
 from tilewright.plans.optical import in_area
@@ -67,9 +68,9 @@ def plan_sar(items: DataFrame, area: DataFrame, windows: DataFrame, ny: int, sam
                .withColumn("n_available", F.coalesce("n_available", F.lit(0)))
                .withColumn("observed", F.coalesce("coverage", F.lit(0.0)))
                .withColumn("verdict", F.when(F.col("coverage") >= min_coverage, "feasible-single").otherwise("incomplete"))
-               .withColumn("verdict_text", F.when(F.col("orbit").isNull(), "no radar pass covers the AOI in this window").otherwise(F.concat(
-                   F.lit("orbit "), F.col("orbit").cast("string"), F.lit(" "), F.col("state"), F.lit(" on "), F.col("d").cast("string"), F.lit(" covers "),
-                   E.percent(F.col("coverage")), F.lit(" of the AOI"), F.when(F.col("coverage") >= min_coverage, "").otherwise(" (partial)")))))
+               .withColumn("verdict_text", F.when(F.col("orbit").isNull(), say("no pass")).otherwise(F.concat(
+                   say("pass", F.col("orbit"), F.col("state"), F.col("d"), E.percent(F.col("coverage"))),
+                   F.when(F.col("coverage") >= min_coverage, "").otherwise(say("pass in part"))))))
     sel = frames.join(picks.select("aoi_id", "label", "orbit", "state", "d", "coverage"), ["aoi_id", "orbit", "state", "d"]).select(
         "aoi_id", "label", "item_id", "orbit", "state", "d", "coverage")
     return RadarPlan(ps, orbits, picks, sel, reports)

@@ -68,3 +68,43 @@ EQUAL_AREA_LAT = 30.0
 # No-data extremes per pixel type; signed types use their minimum, unsigned their maximum, floats -9999.
 DTYPE_NODATA = {"uint8": 255.0, "uint16": 65535.0, "uint32": 4294967295.0, "int8": -128.0, "int16": -32768.0,
                 "int32": -2147483648.0, "float32": -9999.0, "float64": -9999.0}
+
+# Sentences of verdicts, reasons and reports; outputs are compared as text. {} stands for a value.
+SENTENCES = {
+    "part imaged": "scenes in this window image only {} of the AOI",
+    "tiles missing": " ({} of {} tiles had no acquisition)",
+    "single is enough": "one scene per tile reaches {} expected clear coverage",
+    "composite is needed": "single scenes give {} clear; a {}-scene composite reaches {}",
+    "cloudy": "all {} scenes combined reach only {}% expected clear (target {}%); consider SAR, a longer window, or coarser daily optical",
+    "clearest": "highest clear fraction {} of {} candidates",
+    "too cloudy": "best available exceeds cloud threshold ({}% > {}%)",
+    "swath edge": "footprint covers only {} of tile∩AOI (swath edge)",
+    "no scene": "no acquisition intersects this tile in the window",
+    "no product": "no product published for this window",
+    "products": "{} product(s) cover {} of the AOI",
+    "no pass": "no radar pass covers the AOI in this window",
+    "pass": "orbit {} {} on {} covers {} of the AOI",
+    "pass in part": " (partial)",
+    "file unpublished": "file not published yet",
+    "one file": "one file, clipped to the AOI",
+    "area over limit": "AOI ({} km²) exceeds this query's limit ({} km²); use a smaller AOI",
+    "live map query": "live OpenStreetMap query, clipped to the AOI",
+    "downloaded": "downloaded and clipped to the AOI",
+    "files meet": "{} file(s) intersect the AOI",
+    "no tile meets": "no tile intersects the AOI",
+    "theme": "theme '{}', {} data",
+    "part of period": "covers only part of the period ({} → {})",
+    "cloud-independent": "cloud-independent as preferred",
+    "has login": "uses your NASA Earthdata token",
+    "needs login": "needs a free NASA Earthdata token",
+    "too large": "only scene-by-scene imagery ({}) provides this, and the area is too large for it (limit {} km²); name a smaller place",
+    "login": "available from {} with a free NASA Earthdata token",
+    "outside period": "{} is published only from {}, which does not overlap {}…{}; ask about a period within {}",
+    "no source": "no registered source with theme '{}' for {} data over this area/period",
+    "more windows": "… {} more windows (details in the plan file)",
+    "uncovered": "no registered source has data for {}",
+    "other form": "no {} source for this period; '{}' is supplied in another form above",
+    "fallback": "  ↳ added automatically: {} is infeasible (cloud) for {}",
+    "and more": " and {} more",
+    "complement": "  ↳ added automatically: {} has no products for {}; this fills {}",
+}
