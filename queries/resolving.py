@@ -72,10 +72,10 @@ fit AS (SELECT n.*, r.* EXCLUDE (theme), n.temporal = 'static' OR ttype = 'stati
  FROM need n JOIN reg r ON r.theme = n.theme AND kind <> 'event' AND CASE WHEN n.temporal = 'static' THEN shape IN ('layer', 'query') ELSE shape = 'series' END
  AND (everywhere OR (x + 2 >= bx0 AND x <= bx1 AND y + 2 >= by0 AND y <= by1))),
 cand AS (SELECT *, row_number() OVER (PARTITION BY request_id, theme, temporal ORDER BY login, NOT full_, pref AND cloud, kind <> 'raster', coalesce(res, 1e9), pos) AS rk FROM fit WHERE some_),
-outs AS (SELECT request_id, theme, temporal, arg_min(name, pos) AS o_name FROM fit WHERE NOT some_ GROUP BY 1, 2, 3),
+outs AS (SELECT request_id, theme, temporal, arg_min(name, pos) AS o_name, arg_min(coalesce(frm, '') || ' to ' || coalesce(too, 'now'), pos) AS o_span FROM fit WHERE NOT some_ GROUP BY 1, 2, 3),
 usable AS (SELECT request_id, theme, temporal, arg_min(id, rk) AS id FROM cand WHERE NOT login AND NOT (area > 100000 AND shape = 'series' AND coalesce(planner IN ('optical', 'sar'), FALSE)) GROUP BY 1, 2, 3),
-agg AS (SELECT request_id, theme, temporal, count(*) AS n, bool_and(shape = 'series' AND coalesce(planner IN ('optical', 'sar'), FALSE)) AS scenes, string_agg(id, ',' ORDER BY rk) AS alts FROM cand GROUP BY 1, 2, 3),
-res AS (SELECT d.request_id, d.theme, d.temporal, d.need_pos, d.s, d.e, coalesce(d.ovr, u.id) AS chosen, coalesce(a.alts, '') AS alternatives,
+agg AS (SELECT request_id, theme, temporal, count(*) AS n, bool_and(shape = 'series' AND coalesce(planner IN ('optical', 'sar'), FALSE)) AS scenes, string_agg(id, ',' ORDER BY rk) AS alts, arg_min(name, rk) AS first_name FROM cand GROUP BY 1, 2, 3),
+res AS (SELECT d.area, first_name, o_name, o_span, coalesce(d.area > 100000 AND coalesce(d.ovr, u.id) IN (SELECT id FROM reg WHERE shape = 'series' AND planner IN ('optical', 'sar')), FALSE) AS large, d.request_id, d.theme, d.temporal, d.need_pos, d.s, d.e, coalesce(d.ovr, u.id) AS chosen, coalesce(a.alts, '') AS alternatives,
  CASE WHEN coalesce(d.ovr, u.id) IS NOT NULL THEN NULL WHEN a.n > 0 AND d.area > 100000 AND a.scenes THEN 'too large' WHEN a.n > 0 THEN 'login' WHEN o_name IS NOT NULL THEN 'outside period' ELSE 'none' END AS unmet
  FROM need d LEFT JOIN usable u USING (request_id, theme, temporal) LEFT JOIN agg a USING (request_id, theme, temporal) LEFT JOIN outs USING (request_id, theme, temporal))"""
 
@@ -92,18 +92,25 @@ def resolution(spark, sf_dir):
 
 
 @query("f16_plan_groups", f"""WITH {_NEED_SQL} SELECT request_id, chosen AS source_id, temporal, CAST(count(*) AS BIGINT) AS n_needs, string_agg(theme, ',' ORDER BY theme) AS themes FROM res
- WHERE chosen IS NOT NULL AND NOT (temporal = 'pair' AND request_id % 2 = 1) GROUP BY 1, 2, 3""")
+ WHERE chosen IS NOT NULL AND NOT large AND NOT (temporal = 'pair' AND request_id % 2 = 1) GROUP BY 1, 2, 3""")
 def plan_groups(spark, sf_dir):
-    plans, _ = R.plan_groups(R.resolve(_requests(spark, sf_dir), G.load_sources(spark)), F.col("request_id") % 2 == 0)
+    plans, _ = R.plan_groups(R.resolve(_requests(spark, sf_dir), G.load_sources(spark)), F.col("request_id") % 2 == 0, G.load_sources(spark))
     return plans.select("request_id", "source_id", "temporal", "n_needs", F.array_join("themes", ",").alias("themes"))
 
 
-@query("u7_a25_unmet_needs", f"""WITH {_NEED_SQL}, un AS (SELECT request_id, theme, temporal, CASE WHEN chosen IS NULL THEN unmet ELSE 'needs event date' END AS why FROM res WHERE chosen IS NULL OR (temporal = 'pair' AND request_id % 2 = 1)),
-met AS (SELECT DISTINCT request_id, theme FROM res WHERE chosen IS NOT NULL AND NOT (temporal = 'pair' AND request_id % 2 = 1))
+@query("u7_a25_unmet_needs", f"""WITH {_NEED_SQL}, un AS (SELECT request_id, theme, temporal, CASE WHEN chosen IS NULL THEN CASE unmet
+   WHEN 'too large' THEN 'only scene-by-scene imagery (' || first_name || ') provides this, and the area is too large for it (limit 100,000 km²); name a smaller place'
+   WHEN 'login' THEN 'available from ' || first_name || ' with a free NASA Earthdata token'
+   WHEN 'outside period' THEN o_name || ' is published only from ' || o_span || ', which does not overlap ' || substr(s, 1, 7) || '…' || substr(e, 1, 7) || '; ask about a period within ' || o_span
+   ELSE 'no registered source with theme ''' || theme || ''' for ' || temporal || ' data over this area/period' END
+  WHEN temporal = 'pair' AND request_id % 2 = 1 THEN 'needs event date'
+  ELSE (SELECT any_value(name) FROM reg WHERE reg.id = res.chosen) || ': the area (' || format('{{:,}}', CAST(round_even(area, 0) AS BIGINT)) || ' km²) is too large for scene-by-scene imagery (limit 100,000 km²); name a smaller place or use an area-wide product' END AS why
+ FROM res WHERE chosen IS NULL OR large OR (temporal = 'pair' AND request_id % 2 = 1)),
+met AS (SELECT DISTINCT request_id, theme FROM res WHERE chosen IS NOT NULL AND NOT large AND NOT (temporal = 'pair' AND request_id % 2 = 1))
 SELECT u.request_id, u.theme, u.temporal, CASE WHEN m.theme IS NOT NULL THEN 'no ' || u.temporal || ' source for this period; ''' || u.theme || ''' is supplied in another form above' ELSE why END AS text
 FROM un u LEFT JOIN met m USING (request_id, theme)""")
 def unmet(spark, sf_dir):
-    plans, un = R.plan_groups(R.resolve(_requests(spark, sf_dir), G.load_sources(spark)), F.col("request_id") % 2 == 0)
+    plans, un = R.plan_groups(R.resolve(_requests(spark, sf_dir), G.load_sources(spark)), F.col("request_id") % 2 == 0, G.load_sources(spark))
     return Q.softened(un, plans.select("request_id", F.explode("themes").alias("theme"))).select("request_id", "theme", "temporal", "text")
 
 

@@ -113,12 +113,19 @@ def resolve(needs: DataFrame, sources: DataFrame, logged_in: bool = False, scene
             .withColumn("alternatives", F.transform("candidates", lambda x: x["id"])).drop("first_usable", "outside", "too_big"))
 
 
-def plan_groups(resolved: DataFrame, has_event: Column) -> tuple[DataFrame, DataFrame]:
-    """Needs grouped into plans by (source, temporal class), and the needs left unmet with their reason."""
+def plan_groups(resolved: DataFrame, has_event: Column, sources: DataFrame, scene_limit: float = V.SCENE_AREA_LIMIT_KM2) -> tuple[DataFrame, DataFrame]:
+    """Needs grouped into plans by (source, temporal class), and the needs left unmet with the sentence that says why.
+
+    Scene-by-scene sources make no plan for an area above the limit, also where an override names one.
+    """
+    scenes = sources.where((F.col("shape") == "series") & F.col("planner").isin("optical", "sar")).select(F.col("id").alias("chosen"), F.col("name").alias("_scene"))
+    r = resolved.join(scenes, "chosen", "left")
     no_date = (F.col("temporal") == "pair") & ~has_event
-    met = resolved.where(F.col("chosen").isNotNull() & ~no_date)
+    too_large = F.col("_scene").isNotNull() & F.coalesce(F.col("area_km2") > scene_limit, F.lit(False))
+    met = r.where(F.col("chosen").isNotNull() & ~no_date & ~too_large)
     plans = met.groupBy("request_id", F.col("chosen").alias("source_id"), "temporal").agg(
         F.array_sort(F.collect_list("theme")).alias("themes"), F.count("*").alias("n_needs"))
-    unmet = resolved.where(F.col("chosen").isNull() | no_date).select("request_id", "theme", "temporal", F.when(
-        F.col("chosen").isNull(), F.col("unmet")).otherwise("needs event date").alias("why"))
+    why = (F.when(F.col("chosen").isNull(), F.col("unmet_text")).when(no_date, "needs event date")
+           .otherwise(say("scenes too large", F.col("_scene"), F.format_string("%,d", F.bround("area_km2", 0).cast("bigint")), F.lit(f"{scene_limit:,.0f}"))))
+    unmet = r.where(F.col("chosen").isNull() | no_date | too_large).select("request_id", "theme", "temporal", why.alias("why"))
     return plans, unmet

@@ -101,6 +101,7 @@ SENTENCES = {
     "login": "available from {} with a free NASA Earthdata token",
     "outside period": "{} is published only from {}, which does not overlap {}…{}; ask about a period within {}",
     "no source": "no registered source with theme '{}' for {} data over this area/period",
+    "scenes too large": "{}: the area ({} km²) is too large for scene-by-scene imagery (limit {} km²); name a smaller place or use an area-wide product",
     "more windows": "… {} more windows (details in the plan file)",
     "uncovered": "no registered source has data for {}",
     "other form": "no {} source for this period; '{}' is supplied in another form above",
