@@ -335,11 +335,15 @@ def bounded_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
     return over_batches(both, "a long, b long", work)
 
 
-def exact_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose sorted shingle arrays intersect enough."""
+def node_texts(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of the nodes in `pairs`: the rows with the node's key, which other texts of the same id, or of none, do not have."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    ids = wanted.join(nodes.select("node", "doc_id"), "node")
+    keys = wanted.join(nodes.select("node", "key"), "node")
+    return docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").join(keys, "key").select("node", "text")
+
 
+def exact_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs whose sorted shingle arrays intersect enough."""
     def sets_of(batches):
         for batch in batches:
             for rows, data, at in chunks(batch, "text"):
@@ -362,8 +366,7 @@ def exact_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int,
                 ok[i] = 100 * both >= percent * (len(x) + len(y) - both)
             yield [a[ok], b[ok]]
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id").select("node", "text")
-    sets = stage(over_batches(texts, "node long, shingles binary", sets_of).dropDuplicates(["node"]), "sets")
+    sets = stage(over_batches(node_texts(pairs, nodes, docs), "node long, shingles binary", sets_of).dropDuplicates(["node"]), "sets")
     side = lambda s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"set_{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
     return over_batches(both, "a long, b long", work)
@@ -398,7 +401,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, width: int = 5) -> Da
 def _grouped(docs: DataFrame, percent: int, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Cards of all rows, one row for each distinct set (node), and (node, component) of every node."""
     card = stage(cards(docs, width), "cards")
-    nodes = card.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    nodes = card.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     nodes = stage(nodes, "nodes")
     tiles = stage(shared_tiles(postings(docs, width, percent, heavy_shingles(docs, width))), "tiles")
 
