@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import types as T
 
-from tilewright.llm.repeats import cut_text, deduplicated, deduplicated_documents, ranks
+from tilewright.llm.repeats import _keyed, anchored, compared, contexts, cut_text, deduplicated, deduplicated_documents, ranks, repeated_starts
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("places", T.StringType()),
                        T.StructField("n_chars", T.LongType())])
@@ -75,3 +75,28 @@ def test_ranks_are_equal_for_equal_strings():
     assert all(len(v) == 1 for v in names.values()) and len({*map(max, names.values())}) == len(names)
     order = sorted(range(2801), key=lambda i: bytes(data[i:i + 200]))
     assert [int(r[i]) for i in order] == sorted(int(r[i]) for i in order)
+
+
+def test_thousands_of_equal_rows(spark):
+    rng = random.Random(8)
+    fresh = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    text, part = fresh(900), fresh(300)
+    rows = [(1, text)] * 3000 + [(None, part + text[:400])] * 50 + [(i, fresh(40) + part[:250] + text[300:600] + fresh(30)) for i in range(5, 15)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA).repartition(6)
+    keyed = _keyed(df, 200)
+    assert repeated_starts(keyed).selectExpr("max(size(places))").first()[0] < 200
+    found = contexts(compared(anchored(keyed, 200), 8192), keyed, 200)
+    assert found.count() == found.select("h", "shard", "key", "place").distinct().count() > 0
+    want = brute([(1, text)] * 2 + [(None, part + text[:400])] * 2 + rows[3050:])
+    got = deduplicated(df).collect()
+    assert len(got) == len(rows) and sorted({tuple(r) for r in got}, key=str) == sorted(set(want), key=str)
+
+
+@pytest.mark.parametrize("length", [100, 64])
+def test_shorter_windows(spark, length):
+    rng = random.Random(length)
+    fresh = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    part = fresh(150)
+    rows = [(i, fresh(rng.randrange(20)) + part[:rng.randrange(length - 5, 150)] + fresh(rng.randrange(20))) for i in range(40)] + [(50, part[:length]), (51, fresh(length)), (52, fresh(length - 1))]
+    got = deduplicated(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA).repartition(3), length).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, length)

@@ -100,13 +100,14 @@ def anchored(texts: DataFrame, length: int) -> DataFrame:
     def work(batches):
         def flush():
             h, c, key, place = (np.concatenate(x) for x in zip(*held))
-            o = np.lexsort((c, h))
+            o = np.lexsort((place, key, c, h))
             h, c, key, place = h[o], c[o], key[o], place[o]
             same = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
             again, more = np.concatenate([[False], same]), np.concatenate([same, [False]])
             place = place | np.where(again, _COPY, 0) | np.where(more & ~again, _MULTI, 0)
+            own = ~again | (key != np.roll(key, 1)) | (place >> 4 != np.roll(place >> 4, 1))  # of repeated rows one is marked
             h = np.where(again, mix(key.view(np.uint64) + place.astype(np.uint64)), h)  # spread: they only pass through
-            return [signed(h), signed(c), key, place]
+            return [signed(h[own]), signed(c[own]), key[own], place[own]]
         held, n = [], 0
         for batch in batches:
             for rows, data, at in chunks(batch, "text"):
@@ -163,7 +164,7 @@ def contexts(marks: DataFrame, texts: DataFrame, length: int) -> DataFrame:
                     for column, v in zip(out, (h, shard, key, place, data[first:first + (place >> 4 & 0xFFF) + length - 1])):
                         column.append(v)
             yield out
-    both = wanted.join(texts, "key").select("key", "text", "places", "hs", "shards")
+    both = wanted.join(texts.dropDuplicates(["key"]), "key").select("key", "text", "places", "hs", "shards")
     return over_batches(both, "h long, shard int, key long, place long, context binary", work)
 
 
@@ -263,12 +264,12 @@ def across_shards(windows: DataFrame) -> DataFrame:
 
 def repeated_starts(texts: DataFrame, length: int = LENGTH, shard_contexts: int = SHARD_CONTEXTS) -> DataFrame:
     """(key, places) of every text of `texts` (key long, text) with repeated windows: runs of their starts, packed as
-    first * 2^16 + number * 2^4."""
+    first * 2^16 + number * 2^4.  Repeated rows share one key and one list, which has each run once."""
     marks = stage(compared(anchored(texts, length), shard_contexts), "anchors")
     runs = stage(in_shards(contexts(marks, texts, length), length), "runs")
     whole = marks.where(F.col("place").bitwiseAND(F.lit(_COPY)) > 0).select("key", "place")
     every = whole.union(runs.where("window IS NULL").select("key", "place")).union(across_shards(runs.where("window IS NOT NULL")))
-    return every.groupBy("key").agg(F.collect_list("place").alias("places"))
+    return stage(every.select("key", F.col("place").bitwiseAND(F.lit(~15)).alias("place")).distinct().groupBy("key").agg(F.collect_list("place").alias("places")), "starts")
 
 
 def removed_runs(places: list[int] | None, length: int) -> list[tuple[int, int]]:
@@ -283,8 +284,8 @@ def removed_runs(places: list[int] | None, length: int) -> list[tuple[int, int]]
     return out
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.xxhash64(F.col("doc_id"), F.col("text")).alias("key"), "text").where(F.octet_length("text") >= LENGTH)
+def _keyed(docs: DataFrame, length: int) -> DataFrame:
+    return docs.select(F.xxhash64(F.col("doc_id"), F.col("text")).alias("key"), "text").where(F.octet_length("text") >= length)
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, shard_contexts: int = SHARD_CONTEXTS) -> DataFrame:
@@ -308,7 +309,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, shard_contexts: int = SH
                 for column, v in zip(out, (doc, len(data), sum(b - a for a, b in runs), len(runs), kept.hexdigest())):
                     column.append(v)
             yield out
-    found = repeated_starts(_keyed(docs), length, shard_contexts)
+    found = repeated_starts(_keyed(docs, length), length, shard_contexts)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("key"))
     both = rows.join(found, "key", "left").select("doc_id", "text", "places")
     return over_batches(both, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", work)
@@ -334,7 +335,7 @@ def deduplicated_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return pd.Series([t if p is None else cut_text(t, sorted(int(x) for x in p), length) for t, p in zip(text, places)], dtype=object)
 
     importable(docs.sparkSession)
-    found = repeated_starts(_keyed(docs), length).select(F.col("key").alias("k"), "places")
+    found = repeated_starts(_keyed(docs, length), length).select(F.col("key").alias("k"), "places")
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("k")).join(found, "k", "left")
     new = rows.withColumn("new", F.when(F.col("places").isNull(), F.col("row.text")).otherwise(cut("row.text", "places")))
     counted = F.when(F.col("places").isNull(), F.col("row.n_chars")).otherwise(F.char_length("new")) if "n_chars" in docs.columns else None
