@@ -1,9 +1,11 @@
 """URL filters, licence scan, quality ranking, token counts, top-k, rules and mixing against plain computations."""
 
+import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -123,6 +125,21 @@ def test_top_k(spark):
     assert nearest.top_k(df.where("false")).collect() == []
 
 
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(2)
+    size = lambda i: 10.0 ** rng.integers(-2, 9) if i < 250 else 2.0 ** rng.choice([0, 18, 19.99, 27, 60, 1000])
+    rows = [(i, [float(x) for x in rng.normal(size=5) * size(i)]) for i in range(300)]
+    rows += [(300 + i, [2.0 ** 21, -2.0 ** 21 - i % 3 / 256, 0.5, 1e300 if i == 4 else 0.0, -1e-9]) for i in range(7)] + [(350, [float("inf")] * 5), (351, [2.0 ** 20] * 5)]
+    rows += [(1000 + i, [2.0 ** 19 + i % 2 / 256] * 200) for i in range(60)]  # 200 products that no long holds together
+    got = defaultdict(list)
+    for r in nearest.top_k(spark.createDataFrame(rows, schema(vec_id=L, embedding=T.ArrayType(T.DoubleType()))), block=64, queries=3).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.score, r.vec_id))
+    floors = {i: [math.floor(Fraction(x) * 256) for x in v] for i, v in rows if i != 350}
+    for q in (i for i in floors if i % 50 == 0):
+        want = sorted((-sum(a * b for a, b in zip(floors[q], v)), i) for i, v in floors.items() if i != q and len(v) == len(floors[q]))[:5]
+        assert got[q] == [(-s if -2 ** 63 <= -s < 2 ** 63 else None, i) for s, i in want]
+
+
 def plain_rules(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = [tuple(words[i:i + 3]) for i in range(len(words) - 2)]
