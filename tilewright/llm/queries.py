@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import jaccard, licences, mixing, nearest, packing, ranking, repeats, rules, separators, urls
+from tilewright.llm import collocations, jaccard, licences, mixing, nearest, packing, ranking, repeats, rules, separators, spelling, urls
 from tilewright.session import configure
 
 QUERIES: dict = {}
@@ -81,3 +81,15 @@ def op9(spark, table):
 def op10(spark, table):
     """Counts of every document and the verdict of the threshold table."""
     return rules.judged(table("documents"))
+
+
+@query("op12_spelling_variants")
+def op12(spark, table):
+    """Every word of all documents with its more frequent form, the root of its forms and its number of near words."""
+    return spelling.spelling_variants(table("documents"), letters=6, least=5, times=5)
+
+
+@query("op13_phrase_collocations", collocations.COLLOCATION_SQL)
+def op13(spark, table):
+    """The 2,000 collocations of highest score of every language."""
+    return collocations.collocations(table("documents"), least=30, share=80, first=2000)
