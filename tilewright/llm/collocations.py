@@ -21,11 +21,12 @@ from tilewright.llm import transducer as T
 from tilewright.llm.stages import over_batches, stage
 from tilewright.llm.words import chunks, mix, word_hashes, word_spans
 
-SHARD = 1 << 23         # bytes of text in one shard
+SHARD = 1 << 22         # bytes of text in one shard
 RANGE_WINDOWS = 1 << 20  # windows in one range, about
 MOST_RANGES = 1 << 20    # cut points are held by the driver and every task: 8 MB at most; beyond, ranges grow
 SAMPLE = 1 / 32          # rows read to place the cuts, which decide balance only
 _EVERY = 16
+_SLICES = 64
 _ENDS = np.zeros(256, bool)
 _ENDS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -198,8 +199,11 @@ def collocations(docs: DataFrame, least: int = 30, share: int = 80, first: int =
     inside = candidates.where("words >= 3").select("lang", "a", F.explode(spans).alias("phrase")).groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     taken = F.col("longer").cast("decimal(20,0)") * 100 >= F.col("a").cast("decimal(20,0)") * share
     kept = lowest.join(inside, ["lang", "phrase"], "left").where(F.col("longer").isNull() | ~taken)
-    order = W.partitionBy("lang").orderBy(F.desc("m.score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first)
+    by = (F.desc("m.score"), F.desc("a"), "phrase")
+    # a language's first ones are among the first of each of its slices, so one task orders a bounded number of rows
+    slices = kept.withColumn("slice", F.pmod(F.xxhash64("phrase"), F.lit(_SLICES)))
+    some = slices.withColumn("rank", F.row_number().over(W.partitionBy("lang", "slice").orderBy(*by))).where(F.col("rank") <= first)
+    ranked = some.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*by))).where(F.col("rank") <= first)
     total = counts.where("words = 0").select("lang", F.col("f").alias("n"))
     return ranked.join(total, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "m.l", "m.r", "n", "m.score")
 

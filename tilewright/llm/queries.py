@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import collocations, jaccard, licences, mixing, nearest, packing, ranking, repeats, rules, separators, spelling, urls
+from tilewright.llm import collocations, extraction, jaccard, licences, mixing, nearest, packing, ranking, repeats, rules, separators, spelling, urls
 from tilewright.session import configure
 
 QUERIES: dict = {}
@@ -83,6 +83,12 @@ def op10(spark, table):
     return rules.judged(table("documents"))
 
 
+@query("op11_html_extraction")
+def op11(spark, table):
+    """Main text of every page, by tree scoring."""
+    return extraction.extracted(table("pages"))
+
+
 @query("op12_spelling_variants")
 def op12(spark, table):
     """Every word of all documents with its more frequent form, the root of its forms and its number of near words."""
