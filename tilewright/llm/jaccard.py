@@ -4,7 +4,7 @@
 2. A node is posted under its prefix: with shingles in one fixed order, two sets that overlap enough share one of the first
    n - ceil(t n) + 1.  Shingles that many documents share come last in that order, so a common passage is hardly posted.
    The order decides cost only, never the result.
-3. A shuffle by shingle makes tiles; shingles with a single node go.  Inside a tile rows are sorted by size, and only pairs
+3. A shuffle by shingle makes tiles; shingles with a single node go, and shingles of the same nodes are one tile.  Inside a tile rows are sorted by size, and only pairs
    in the band of sizes and at positions that still allow the overlap are looked at.
 4. Each tile first pairs its nodes with one leader, then with a few hash-random rows whose component differs.
    What links is one component, and only pairs of different components are looked at afterwards: a group of near copies
@@ -138,7 +138,12 @@ def postings(docs: DataFrame, width: int, percent: int, heavy: tuple[np.ndarray,
 
 
 def shared_tiles(posts: DataFrame) -> DataFrame:
-    """Postings of shingles with two nodes or more, each node once a tile, in order of shingle and size."""
+    """Postings of shingles with two nodes or more, each node once a tile, in order of tile, size and node.
+
+    Shingles that the same nodes share, such as all those of one passage, make one tile, named by a hash of the nodes: each
+    node's place there is its smallest, which allows every pair that one of the shingles allows.  Two sets of nodes with one
+    hash would share a tile, which only adds pairs.
+    """
     def work(batches):
         for shingle, node, place in whole_groups(batches):
             same = (shingle[1:] == shingle[:-1])
@@ -147,9 +152,13 @@ def shared_tiles(posts: DataFrame) -> DataFrame:
             same = shingle[1:] == shingle[:-1]
             shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
             if shared.any():
-                yield [shingle[shared], node[shared], place[shared]]
+                shingle, node, place = shingle[shared], node[shared], place[shared]
+                start = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
+                names = mix(np.add.reduceat(mix(node.view(np.uint64)), start))
+                yield [signed(np.repeat(names, np.diff(np.append(start, len(shingle))))), node, place]
     dealt = posts.repartition("shingle").sortWithinPartitions("shingle", "place", "node")
-    return over_batches(dealt, "shingle int, node long, place long", work)
+    tiles = over_batches(dealt, "shingle long, node long, place long", work).groupBy("shingle", "node").agg(F.min("place").alias("place"))
+    return tiles.repartition("shingle").sortWithinPartitions("shingle", "place", "node")
 
 
 def _allowed(place_a, place_b, percent):
@@ -247,7 +256,7 @@ def open_rows(tiles: DataFrame, percent: int) -> DataFrame:
             for i, j in _cross(shingle, node, place, part, percent):
                 wanted[i] = wanted[j] = True
             yield [shingle[wanted], node[wanted], place[wanted], part[wanted]]
-    return over_batches(tiles, "shingle int, node long, place long, component long", work)
+    return over_batches(tiles, "shingle long, node long, place long, component long", work)
 
 
 def _matrix(column, size: int) -> np.ndarray:
