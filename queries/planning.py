@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from queries.base import CELLS_SQL, ITEMS_SQL, OPTICAL_SQL, SIDE, WINDOWS_SQL, areas, footprints, items, months, query, table
 from tilewright.functions import bitgrid as B
 from tilewright.operators import windows as D
-from tilewright.plans import optical, products, sar
+from tilewright.plans import optical, products, sar, scenes as scene_plans
 from tilewright.session import write_stage
 
 
@@ -70,6 +70,55 @@ def window_reports(spark, sf_dir):
         *[F.round(c, 6).alias(c) for c in ("observed", "single_clear", "composite_clear", "naive_observed")], "verdict")
 
 
+# ---- the same planning from rings, over blocks of 8 x 8 cells; every 31st footprint is a strip without a cell centre, some beside the area ---------------
+
+def _rings(x0, y0, x1, y1):
+    corner = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    return F.array(F.array(corner(x0, y0), corner(x1, y0), corner(x1, y1), corner(x0, y1), corner(x0, y0)))
+
+
+def _block_plan(spark, sf_dir):
+    i = write_stage(items(spark, sf_dir), "items")
+    thin = F.col("item_id") % 31 == 0
+    x0, y0, x1 = F.col("x0") + F.when(thin, 0.6).otherwise(0.0), F.col("y0"), F.when(thin, F.col("x0") + 0.9).otherwise(F.col("x0") + 7.0)
+    scenes = i.select("source_id", "item_id", F.col("tile").cast("string").alias("tile"), "d", "cloud_cover", _rings(x0, y0, x1, y0 + 7).alias("rings"))
+    one = i.select("source_id", "aoi_id").distinct()
+    area = one.select("source_id", "aoi_id", _rings(F.lit(0), F.lit(0), F.lit(SIDE), F.lit(SIDE)).alias("rings"))
+    return scene_plans.plan_scenes(scenes, area, months(spark, sf_dir, i), 1.0, side=8, on=("source_id",), plane=True)
+
+
+_STRIPS = {"ON y.c BETWEEN i.y0 AND i.y0 + 6)": "ON y.c BETWEEN i.y0 AND i.y0 + 6 WHERE i.item_id % 31 <> 0)",
+           "n_item AS (SELECT item_id, count(*) AS n FROM cells GROUP BY 1)": "n_item AS (SELECT i.item_id, count(c.cell) AS n FROM items i LEFT JOIN cells c USING (item_id) WHERE i.item_id % 31 <> 0 OR i.x0 >= 0 GROUP BY 1)",
+           "ORDER BY q DESC, t.tile)": "ORDER BY q DESC, CAST(t.tile AS VARCHAR))"}
+
+
+def _with_strips(sql: str) -> str:
+    for old, new in _STRIPS.items():
+        assert old in sql
+        sql = sql.replace(old, new)
+    return sql
+
+
+_STRIP_REPORT_SQL = _with_strips(_REPORT_SQL).replace("FROM pos p JOIN cells c USING (item_id) WHERE", "FROM pos p LEFT JOIN cells c USING (item_id) WHERE")
+
+
+@query("g1_w1_block_window_reports", f"""WITH {_STRIP_REPORT_SQL}
+SELECT source_id, label, CAST(n_scenes AS BIGINT) AS n_scenes, CAST(tiles_missing AS BIGINT) AS tiles_missing, CAST(single_scenes AS BIGINT) AS single_scenes,
+ CAST(over_threshold AS BIGINT) AS over_threshold, CAST(composite_scenes AS BIGINT) AS composite_scenes, CAST(naive_scenes AS BIGINT) AS naive_scenes,
+ round(observed, 6) AS observed, round(single_clear, 6) AS single_clear, round(composite_clear, 6) AS composite_clear,
+ round(naive_observed, 6) AS naive_observed, verdict FROM verdicts""")
+def block_reports(spark, sf_dir):
+    return _block_plan(spark, sf_dir).reports.select(
+        F.col("aoi_id").alias("source_id"), "label", "n_scenes", "tiles_missing", "single_scenes", "over_threshold", "composite_scenes", "naive_scenes",
+        *[F.round(c, 6).alias(c) for c in ("observed", "single_clear", "composite_clear", "naive_observed")], "verdict")
+
+
+@query("w1_block_candidates", f"""WITH {_with_strips(OPTICAL_SQL)}
+SELECT source_id, label, CAST(tile AS VARCHAR) AS tile, item_id, round(coverage, 6) AS coverage, round(clear, 6) AS clear FROM cand""")
+def block_candidates(spark, sf_dir):
+    return _block_plan(spark, sf_dir).candidates.select(F.col("aoi_id").alias("source_id"), "label", "tile", "item_id", F.round("coverage", 6).alias("coverage"), F.round("clear", 6).alias("clear"))
+
+
 _PCT = "CAST(CAST(round_even({0} * 100, 0) AS BIGINT) AS VARCHAR) || '%'"
 
 

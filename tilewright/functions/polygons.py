@@ -62,6 +62,29 @@ def point_in_edges(x: Column, y: Column, edges: Column) -> Column:
     return F.aggregate(edges, F.lit(False), lambda odd, e: odd != crosses(e))
 
 
+def edges_cross(e: Column, f: Column) -> Column:
+    """Whether two edges have a point in common, ends included: their boxes overlap and each lies on both sides of the other's line."""
+    def turn(g, x, y):
+        return (g["bx"] - g["ax"]) * (y - g["ay"]) - (g["by"] - g["ay"]) * (x - g["ax"])
+
+    def apart(a):
+        return (F.greatest(e[f"a{a}"], e[f"b{a}"]) < F.least(f[f"a{a}"], f[f"b{a}"])) | (F.greatest(f[f"a{a}"], f[f"b{a}"]) < F.least(e[f"a{a}"], e[f"b{a}"]))
+
+    def both_sides(g, h):
+        return F.signum(turn(g, h["ax"], h["ay"])) * F.signum(turn(g, h["bx"], h["by"])) <= 0
+    return ~apart("x") & ~apart("y") & both_sides(e, f) & both_sides(f, e)
+
+
+def rings_meet(a: Column, b: Column) -> Column:
+    """Whether two areas of several rings (parts and holes) have a point in common: borders meet, or one holds a vertex of the other."""
+    def holds(rings, edges):
+        return F.exists(rings, lambda r: point_in_edges(F.get(r, F.lit(0))["x"], F.get(r, F.lit(0))["y"], edges))
+
+    def test(s):
+        return F.exists(s["a"], lambda e: F.exists(s["b"], lambda f: edges_cross(e, f))) | holds(a, s["b"]) | holds(b, s["a"])
+    return let(F.struct(rings_edges(a).alias("a"), rings_edges(b).alias("b")), test)
+
+
 def point_in_ring(x: Column, y: Column, ring: Column) -> Column:
     return point_in_edges(x, y, ring_edges(ring))
 

@@ -113,9 +113,10 @@ def composites(cand: DataFrame, target: float = V.CLEAR_TARGET) -> DataFrame:
               .withColumn("before", F.coalesce(F.product("factor").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(1.0)))
               .where(F.col("before") > stop - _EPS)
               .withColumn("border", F.col("before") * F.col("factor") <= stop + _EPS))
-    # a full-clear or hopeless scene has no logarithm to bound by; its block is taken whole
+    # one full-clear scene leaves nothing unseen; a hopeless one has no logarithm to bound by, and its block is taken whole
     bounded = F.col("border") & (F.col("least") > 0) & (F.col("least") < 1) & F.lit(stop > _EPS)
-    need = F.when(bounded, F.ceil(F.log(F.lit(max(stop - _EPS, _EPS)) / F.col("before")) / F.log(1 - F.col("least"))) + 2).otherwise(F.col("n"))
+    need = (F.when(F.col("border") & (F.col("least") >= 1), F.lit(1))
+            .when(bounded, F.ceil(F.log(F.lit(max(stop - _EPS, _EPS)) / F.col("before")) / F.log(1 - F.col("least"))) + 2).otherwise(F.col("n")))
     live = cand.join(blocks.select(*block, "border", F.greatest(need, F.lit(1)).alias("need"), "before"), block)
 
     slice_order = W.partitionBy(*block, "_salt").orderBy(*_rank_key())
@@ -140,16 +141,27 @@ def plan_optical(items: DataFrame, area: DataFrame, windows: DataFrame, ny: int,
     held: item_id of scenes already in the library, used only between equally clear scenes.
     Tiles and candidates feed several results each, so both are written once to the shared folder and read back.
     """
-    scenes = in_area(items.where(F.col("tile").isNotNull()), area)
-    if held is None:
-        scenes = scenes.withColumn("held", F.lit(False))
-    else:
-        marks = held.select("item_id").distinct().withColumn("_held", F.lit(True))
-        scenes = scenes.join(marks, "item_id", "left").withColumn("held", F.coalesce("_held", F.lit(False))).drop("_held")
+    scenes = marked_held(in_area(items.where(F.col("tile").isNotNull()), area), held)
     claimed = write_stage(claim(tile_extents(scenes, ny), area), "tiles")
+    return planned(scenes, claimed, windows, ny, cloud_max, min_coverage, target)
+
+
+def marked_held(scenes: DataFrame, held: DataFrame | None) -> DataFrame:
+    """Scenes with `held`: whether the library has them."""
+    if held is None:
+        return scenes.withColumn("held", F.lit(False))
+    marks = held.select("item_id").distinct().withColumn("_held", F.lit(True))
+    return scenes.join(marks, "item_id", "left").withColumn("held", F.coalesce("_held", F.lit(False))).drop("_held")
+
+
+def planned(scenes: DataFrame, claimed: DataFrame, windows: DataFrame, ny: int, cloud_max: float, min_coverage: float, target: float,
+            pieces: DataFrame | None = None) -> OpticalPlan:
+    """The plan of scenes (with n_cells and held) and claimed tiles.  Footprints are the scenes' `words`, or rows of `pieces`:
+    aoi_id, item_id, bx, by, words."""
     tiles = claimed.where("kept")
-    cand = write_stage(candidates(scenes, tiles, windows).select(
-        "aoi_id", "label", "tile", "item_id", "d", "cloud_cover", "cloud", "coverage", "clear", "bucket", "held", "words"), "candidates")
+    fields = ["aoi_id", "label", "tile", "item_id", "d", "cloud_cover", "cloud", "coverage", "clear", "bucket", "held"]
+    cand = candidates(scenes, tiles, windows)
+    cand = write_stage(cand.select(*fields, "words") if pieces is None else cand.select(*fields, F.lit(None).cast("array<bigint>").alias("words")), "candidates")
     best = best_per_tile(cand)
     comp = composites(cand, target)
     grid = windows.select("aoi_id", "label").distinct().join(tiles.select("aoi_id", "tile", "exclusive_cells", "area_cells"), "aoi_id")
@@ -161,17 +173,30 @@ def plan_optical(items: DataFrame, area: DataFrame, windows: DataFrame, ny: int,
            .withColumn("reasons", F.when(F.col("item_id").isNull(), F.array(say("no scene")))
                        .otherwise(E.selection_reasons(F.col("clear"), F.col("n_candidates"), F.col("cloud"), F.col("coverage"), cloud_max, min_coverage))))
     return OpticalPlan(tiles, claimed.where("NOT kept").select("aoi_id", "tile"), cand, sel, comp,
-                       window_reports(sel, cand, ny, cloud_max, min_coverage, target))
+                       window_reports(sel, cand, ny, cloud_max, min_coverage, target, pieces))
+
+
+def imaged(chosen: DataFrame, ny: int, pieces: DataFrame | None = None) -> DataFrame:
+    """(aoi_id, label, seen): cells that the chosen scenes of every window image together."""
+    keys = ["aoi_id", "label"]
+    if pieces is None:
+        return B.dissolve(chosen, keys, "words", ny).select(*keys, B.cells(F.col("words")).alias("seen"))
+    rows = chosen.select(*keys, "item_id").distinct().join(pieces, ["aoi_id", "item_id"])
+    return B.dissolve(rows, [*keys, "bx", "by"], "words", ny).groupBy(*keys).agg(F.sum(B.cells(F.col("words"))).cast("int").alias("seen"))
 
 
-def naive_coverage(cand: DataFrame, ny: int, cloud_max: float = V.CLOUD_MAX) -> DataFrame:
+def naive_coverage(cand: DataFrame, ny: int, cloud_max: float = V.CLOUD_MAX, pieces: DataFrame | None = None) -> DataFrame:
     """What a plain cloud filter would have returned per window: scenes and the cells they image."""
     plain = cand.where(F.col("cloud_cover") <= cloud_max)
-    return B.dissolve(plain, ["aoi_id", "label"], "words", ny, F.count("*").alias("naive_scenes")).select(
-        "aoi_id", "label", "naive_scenes", B.cells(F.col("words")).alias("naive_cells"))
+    if pieces is None:
+        return B.dissolve(plain, ["aoi_id", "label"], "words", ny, F.count("*").alias("naive_scenes")).select(
+            "aoi_id", "label", "naive_scenes", B.cells(F.col("words")).alias("naive_cells"))
+    counts = plain.groupBy("aoi_id", "label").agg(F.count("*").alias("naive_scenes"))
+    return counts.join(imaged(plain, ny, pieces).withColumnRenamed("seen", "naive_cells"), ["aoi_id", "label"], "left")
 
 
-def window_reports(sel: DataFrame, cand: DataFrame, ny: int, cloud_max: float, min_coverage: float, target: float) -> DataFrame:
+def window_reports(sel: DataFrame, cand: DataFrame, ny: int, cloud_max: float, min_coverage: float, target: float,
+                   pieces: DataFrame | None = None) -> DataFrame:
     """Counts, observed and expected-clear coverage and the verdict of every (area, window)."""
     chosen = F.col("item_id").isNotNull()
     base = sel.groupBy("aoi_id", "label").agg(
@@ -180,9 +205,12 @@ def window_reports(sel: DataFrame, cand: DataFrame, ny: int, cloud_max: float, m
         F.count_if(F.col("cloud") > cloud_max).alias("over_threshold"),
         F.coalesce(F.sum(F.col("exclusive_cells") * F.col("clear")), F.lit(0.0)).alias("_single"),
         F.coalesce(F.sum(F.col("exclusive_cells") * F.col("composite_clear")), F.lit(0.0)).alias("_comp"),
-        F.coalesce(F.sum("n_composite"), F.lit(0)).alias("composite_scenes"), B.union_aggregate("words", ny).alias("_seen"))
-    full = (base.join(naive_coverage(cand, ny, cloud_max), ["aoi_id", "label"], "left")
-            .withColumn("observed", B.cells(F.col("_seen")) / F.col("area_cells"))
+        F.coalesce(F.sum("n_composite"), F.lit(0)).alias("composite_scenes"),
+        *([B.cells(B.union_aggregate("words", ny)).alias("_seen")] if pieces is None else []))
+    if pieces is not None:
+        base = base.join(imaged(sel.where(chosen), ny, pieces).withColumnRenamed("seen", "_seen"), ["aoi_id", "label"], "left").fillna(0, ["_seen"])
+    full = (base.join(naive_coverage(cand, ny, cloud_max, pieces), ["aoi_id", "label"], "left")
+            .withColumn("observed", F.col("_seen") / F.col("area_cells"))
             .withColumn("single_clear", F.col("_single") / F.col("area_cells"))
             .withColumn("composite_clear", F.col("_comp") / F.col("area_cells"))
             .withColumn("naive_scenes", F.coalesce("naive_scenes", F.lit(0)))
