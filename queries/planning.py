@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from queries.base import CELLS_SQL, ITEMS_SQL, OPTICAL_SQL, SIDE, WINDOWS_SQL, areas, footprints, items, months, query, table
+from queries.sources import _NORM_SQL, _normalised
 from tilewright.functions import bitgrid as B
 from tilewright.operators import windows as D
 from tilewright.plans import optical, products, sar, scenes as scene_plans
@@ -70,13 +71,27 @@ def window_reports(spark, sf_dir):
         *[F.round(c, 6).alias(c) for c in ("observed", "single_clear", "composite_clear", "naive_observed")], "verdict")
 
 
-# ---- the same planning from rings, over blocks of 8 x 8 cells; every 31st footprint is a strip without a cell centre, some beside the area ---------------
-
 def _rings(x0, y0, x1, y1):
     corner = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
     return F.array(F.array(corner(x0, y0), corner(x1, y0), corner(x1, y1), corner(x0, y1), corner(x0, y0)))
 
 
+# ---- which normalised items meet which areas, by rings; areas are boxes of 7 x 5 degrees around the globe ---------------------------------
+
+@query("s3_w1_items_meeting_areas", f"""WITH {_NORM_SQL}, boxes AS (SELECT CAST(i AS INT) AS i, i * 10 - 150.5::DOUBLE AS a, i * 10 - 143.5::DOUBLE AS b, (i % 5) * 20 - 50.5::DOUBLE AS c, (i % 5) * 20 - 45.5::DOUBLE AS d FROM range(30) t(i))
+SELECT 'area_' || CAST(i AS VARCHAR) AS area_id, item_id, source_id, "group" AS tile FROM norm, boxes WHERE "group" IS NOT NULL AND (
+ (minx <= b AND minx + 1 >= a AND miny <= d AND miny + 2 >= c) OR
+ (n_rings = 2 AND minx + 2 <= b AND minx + 3 >= a AND greatest(0, c - miny - 2) <= least(least(1, b - minx - 2), d - miny - 2)))""")
+def items_meeting_areas(spark, sf_dir):
+    found = scene_plans.catalogue_scenes(_normalised(spark, sf_dir)).where("tile IS NOT NULL")
+    a, c = F.col("i") * 10 - 150.5, F.col("i") % 5 * 20 - 50.5
+    one = spark.range(30).withColumnRenamed("id", "i").select(F.concat(F.lit("area_"), F.col("i").cast("string")).alias("aoi_id"), _rings(a, c, a + 7, c + 5).alias("rings"))
+    placed = [scene_plans.placed(rows, plane=True) for rows in (found, one)]
+    return scene_plans.members(*placed, square=scene_plans.SQUARE).join(found, "item_id").select(F.col("aoi_id").alias("area_id"), "item_id", "source_id", "tile")
+
+
+# ---- the same planning from rings, over blocks of 8 x 8 cells; every 31st footprint is a strip without a cell centre, some beside the area ---------------
+
 def _block_plan(spark, sf_dir):
     i = write_stage(items(spark, sf_dir), "items")
     thin = F.col("item_id") % 31 == 0

@@ -1,5 +1,6 @@
 """Scene plans over blocks: against the single frame, against brute force over cell centres, and membership of thin footprints."""
 
+import json
 import math
 import random
 
@@ -98,6 +99,26 @@ def test_longitudes_nulls_and_empty_tables(spark):
         scenes.plan_scenes(i, a, w, 1000.0, side=64)
 
 
+def test_plan_from_catalogue_features(spark):
+    """From feature JSON to a plan: sources apart, parts and holes of multipolygons, items without group left out."""
+    from tilewright.sources import catalogue, registry
+    def feature(k, group, geometry):
+        return json.dumps({"id": f"S{k}", "geometry": geometry, "assets": {}, "properties": {"datetime": f"2024-05-{k + 1:02d}T10:00:00Z", "eo:cloud_cover": str(10 * k), **({"grid:code": group} if group else {})}})
+    square = lambda x, y, n: [[x, y], [x + n, y], [x + n, y + n], [x, y + n], [x, y]]
+    rows = [("sentinel-2-l2a", feature(0, "MGRS-1", {"type": "Polygon", "coordinates": [square(76.0, 13.0, 1.0)]})),
+            ("sentinel-2-l2a", feature(1, "MGRS-1", {"type": "MultiPolygon", "coordinates": [[square(76.0, 13.0, 0.2)], [square(90.0, 1.0, 1.0)]]})),
+            ("sentinel-2-l2a", feature(2, None, {"type": "Polygon", "coordinates": [square(76.0, 13.0, 1.0)]})),
+            ("sentinel-2-l2a", feature(3, "MGRS-1", {"type": "Polygon", "coordinates": [square(75.0, 12.0, 3.0), square(75.9, 12.9, 1.3)]})),
+            ("landsat-c2-l2", feature(4, "MGRS-1", {"type": "Polygon", "coordinates": [square(76.0, 13.0, 1.0)]}))]
+    items = catalogue.normalise(catalogue.parse_features(frame(spark, rows, "source_id string, js string"), "js"), registry.load_sources(spark))
+    areas = frame(spark, [("sentinel-2-l2a", "x", [box(76, 13, 77, 14)])], f"source_id string, aoi_id string, rings {RINGS}")
+    windows = spark.sql("SELECT 'x' AS aoi_id, '2024-05' AS label, DATE'2024-05-01' AS w_start, DATE'2024-05-31' AS w_end")
+    got = scenes.plan_catalogue(items, areas, windows, 500.0)
+    cand = {r.item_id: r for r in got.candidates.collect()}
+    assert sorted(cand) == ["S0", "S1"] and cand["S0"].coverage == 1 and cand["S1"].coverage == pytest.approx(0.04, rel=0.05)
+    assert got.selections.first().item_id == "S0" and got.reports.first().verdict == "feasible-single"
+
+
 def test_rings_meet(spark):
     cases = [([box(0, 0, 2, 2)], [box(1, 1, 3, 3)], True), ([box(0, 0, 2, 2)], [box(2, 0, 3, 1)], True), ([box(0, 0, 2, 2)], [box(2.01, 0, 3, 1)], False),
              ([box(0, 0, 9, 9)], [box(4, 4, 5, 5)], True), ([box(0, 0, 9, 9), box(3, 3, 6, 6)], [box(4, 4, 5, 5)], False),

@@ -14,6 +14,7 @@ from tilewright.functions import bitgrid as B, geodesy as G, polygons as P
 from tilewright.plans import optical
 from tilewright.session import write_stage
 
+SQUARE = 1.0  # degrees: the squares in which items and areas meet
 _BOX = ("minx", "miny", "maxx", "maxy")
 
 
@@ -72,11 +73,11 @@ def plan_scenes(items: DataFrame, areas: DataFrame, windows: DataFrame, cell: fl
     """
     if not 1 <= side <= 62:
         raise ValueError("a grid row is one 64-bit word: side must lie between 1 and 62")
-    area_rings = placed(areas.select(*on, "aoi_id", "rings"), plane)
-    item_rings = placed(items.where("tile IS NOT NULL").select(*on, "item_id", "rings"), plane)
-    area = write_stage(blocks(area_rings.select("aoi_id", "rings", *_BOX), cell, side).groupBy("aoi_id", "bx", "by").agg(B.union_aggregate("words", side).alias("words")), "areas")
-    pairs = write_stage(members(item_rings, area_rings, cell * side, on), "members")
-    cut = (blocks(item_rings.select("item_id", "rings", *_BOX), cell, side).join(pairs, "item_id")
+    area = write_stage(blocks(placed(areas.select("aoi_id", "rings"), plane), cell, side).groupBy("aoi_id", "bx", "by").agg(B.union_aggregate("words", side).alias("words")), "areas")
+    # what meets an area is decided on the given coordinates, whose edges are straight there
+    own = [placed(r.select(*on, k, "rings"), plane=True) for r, k in ((items.where("tile IS NOT NULL"), "item_id"), (areas, "aoi_id"))]
+    pairs = write_stage(members(*own, cell * side if plane else SQUARE, on), "members")
+    cut = (blocks(placed(items.where("tile IS NOT NULL").select("item_id", "rings"), plane), cell, side).join(pairs, "item_id")
            .join(area.withColumnRenamed("words", "_area"), ["aoi_id", "bx", "by"]).withColumn("words", B.overlap(F.col("words"), F.col("_area"))).drop("_area")
            .withColumn("cells", B.cells(F.col("words"))).where("cells > 0"))
     pieces = write_stage(cut, "pieces")
@@ -88,6 +89,17 @@ def plan_scenes(items: DataFrame, areas: DataFrame, windows: DataFrame, cell: fl
     return optical.planned(scenes, claimed, windows, side, cloud_max, min_coverage, target, pieces)
 
 
+def catalogue_scenes(items: DataFrame) -> DataFrame:
+    """Normalised catalogue items as scenes: their group is the tile."""
+    return items.select("source_id", "item_id", F.col("group").alias("tile"), "d", "cloud_cover", "rings")
+
+
+def plan_catalogue(items: DataFrame, areas: DataFrame, windows: DataFrame, cell: float, **more) -> optical.OpticalPlan:
+    """Scene plans straight from normalised catalogue items (see `sources.catalogue`).  areas: source_id, aoi_id, rings; an area is planned
+    from the items of its source.  Further arguments are those of `plan_scenes`."""
+    return plan_scenes(catalogue_scenes(items), areas, windows, cell, on=("source_id",), **more)
+
+
 def _flat(area: DataFrame) -> DataFrame:
     """Areas as one array of words each, block after block.  Scene planning stops at 100,000 km², which bounds their number."""
     parts = F.sort_array(F.collect_list(F.struct("bx", "by", "words")))
