@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from queries.base import query, table
 from tilewright import vocab as V
 from tilewright.functions import scalars as S, verdicts as E
-from tilewright.operators import needs as N, resolve as R
+from tilewright.operators import needs as N, resolve as R, windows as D
 from tilewright.plans import layers as L, requests as Q
 from tilewright.session import write_stage
 from tilewright.sources import registry as G
@@ -180,34 +180,47 @@ def vocabulary(spark, sf_dir):
 
 # ---- fallbacks, complements, attention -----------------------------------------------------------------------------
 
+_PRE, _POST = 30, 20  # days before and after an event
 _V = ["feasible-single", "infeasible", "incomplete", "out-of-range", "feasible-composite", "feasible-single", "infeasible"]
 
 
 def _planned(spark, sf_dir):
-    """Plans of every request in need order, their yearly windows with a verdict from the key, and their needs."""
-    res = R.resolve(_requests(spark, sf_dir), G.load_sources(spark)).where("chosen IS NOT NULL AND temporal <> 'static'")
-    src = G.load_sources(spark).select(F.col("id").alias("chosen"), "planner")
-    base = write_stage(res.join(src, "chosen").select("request_id", "chosen", "planner", "need_pos", "theme", "temporal", "candidates"), "resolved")
-    plans = base.groupBy("request_id", F.col("chosen").alias("source_id"), "planner").agg(F.min("need_pos").alias("plan_pos"))
-    needs = base.select("request_id", F.col("chosen").alias("source_id"), "need_pos", F.concat_ws(":", "theme", "temporal").alias("need_key"), "candidates").join(
-        plans.select("request_id", "source_id", "plan_pos"), ["request_id", "source_id"]).drop("source_id")
-    y = F.explode(F.sequence(F.lit(2003), F.lit(2012))).alias("y")
-    windows = plans.select("request_id", "plan_pos", "source_id", y).select(
-        "request_id", "plan_pos", "source_id", F.col("y").cast("string").alias("label"), F.make_date("y", F.lit(1), F.lit(1)).alias("w_start"), F.make_date("y", F.lit(12), F.lit(31)).alias("w_end"),
-        F.element_at(F.lit(_V), ((F.col("request_id") * 5 + F.col("plan_pos") * 3 + F.col("y")) % 7 + 1).cast("int")).alias("verdict"))
-    return plans, windows, needs
+    """Plans of every request in need order, the windows of its own period or event with a verdict from the key, and their needs.
+
+    A plan serves the needs of one source and one temporal mode; the event of a before/after plan is the middle of the period.
+    """
+    requests = _requests(spark, sf_dir)
+    res = R.resolve(requests, G.load_sources(spark)).where("chosen IS NOT NULL AND temporal <> 'static'")
+    src = G.load_sources(spark).select(F.col("id").alias("chosen"), "planner", F.col("yearly").alias("source_yearly"))
+    base = write_stage(res.join(src, "chosen").select("request_id", "chosen", "planner", "source_yearly", "need_pos", "theme", "temporal", "candidates"), "resolved")
+    plans = base.groupBy("request_id", F.col("chosen").alias("source_id"), "temporal", "planner", "source_yearly").agg(F.min("need_pos").alias("plan_pos"))
+    needs = base.select("request_id", F.col("chosen").alias("source_id"), "temporal", "need_pos", F.concat_ws(":", "theme", "temporal").alias("need_key"), "candidates").join(
+        plans.select("request_id", "source_id", "temporal", "plan_pos"), ["request_id", "source_id", "temporal"]).drop("source_id", "temporal")
+    period = requests.select("request_id", F.col("start").cast("date").alias("start"), F.col("end").cast("date").alias("end")).distinct()
+    asked = plans.join(period, "request_id").select("*", D.reference_date(F.col("start"), F.col("end")).alias("event"), F.lit(_PRE).alias("pre_days"), F.lit(_POST).alias("post_days"))
+    month = F.year("w_start") * 12 + F.month("w_start")
+    windows = D.windows_for(asked, "request_id", "plan_pos", "source_id").withColumn("verdict", F.element_at(
+        F.lit(_V), ((F.col("request_id") * 5 + F.col("plan_pos") * 3 + month) % 7 + 1).cast("int")))
+    return plans.drop("temporal", "source_yearly"), windows, needs
 
 
 _PLANS_SQL = "RECURSIVE " + _NEED_SQL + f""",
 met AS (SELECT * FROM res WHERE chosen IS NOT NULL AND temporal <> 'static'),
-pm AS (SELECT DISTINCT id, planner, cloud, shape, driver, ttype, frm, too FROM reg),
-plans AS (SELECT request_id, chosen AS source_id, planner, min(need_pos) AS plan_pos FROM met JOIN pm ON pm.id = chosen GROUP BY 1, 2, 3),
-win AS (SELECT request_id, plan_pos, source_id, CAST(y AS VARCHAR) AS label, make_date(CAST(y AS INT), 1, 1) AS w_start, make_date(CAST(y AS INT), 12, 31) AS w_end,
- [{', '.join(_lit(v) for v in _V)}][CAST((request_id * 5 + plan_pos * 3 + y) % 7 + 1 AS INT)] AS verdict FROM plans, range(2003, 2013) t(y)),
+pm AS (SELECT DISTINCT id, planner, id IN ({', '.join(_lit(x['id']) for x in SOURCES if (x['temporal'].get('revisit_days') or 0) >= V.YEARLY_REVISIT_DAYS)}) AS yearly FROM reg),
+plans AS (SELECT request_id, chosen AS source_id, temporal, planner, yearly, min(need_pos) AS plan_pos, min(CAST(s AS DATE)) AS s, min(CAST(e AS DATE)) AS e FROM met JOIN pm ON pm.id = chosen GROUP BY ALL),
+spans AS (SELECT *, s + CAST(floor((e - s) / 2) AS INT) AS ev, CASE WHEN temporal = 'pair' THEN 'pair' WHEN yearly OR e - s > {V.LONG_PERIOD_DAYS} THEN 'yearly' ELSE 'monthly' END AS step FROM plans),
+bare AS (
+ SELECT request_id, plan_pos, source_id, strftime(m, '%Y-%m') AS label, greatest(CAST(m AS DATE), s) AS w_start, least(last_day(CAST(m AS DATE)), e) AS w_end
+ FROM (SELECT *, unnest(generate_series(date_trunc('month', s)::TIMESTAMP, e::TIMESTAMP, INTERVAL 1 MONTH)) AS m FROM spans WHERE step = 'monthly')
+ UNION ALL SELECT request_id, plan_pos, source_id, CAST(y AS VARCHAR), greatest(make_date(y, 1, 1), s), least(make_date(y, 12, 31), e)
+ FROM (SELECT *, unnest(generate_series(year(s), year(e))) AS y FROM spans WHERE step = 'yearly')
+ UNION ALL SELECT request_id, plan_pos, source_id, 'pre', ev - {_PRE}, ev FROM spans WHERE step = 'pair'
+ UNION ALL SELECT request_id, plan_pos, source_id, 'post', ev, ev + {_POST} FROM spans WHERE step = 'pair'),
+win AS (SELECT *, [{', '.join(_lit(v) for v in _V)}][CAST((request_id * 5 + plan_pos * 3 + year(w_start) * 12 + month(w_start)) % 7 + 1 AS INT)] AS verdict FROM bare),
 held AS (SELECT request_id, list(DISTINCT source_id) AS planned FROM plans GROUP BY 1),
 bad AS (SELECT request_id, plan_pos, string_agg(label, ',' ORDER BY label) AS bad FROM win WHERE verdict = 'infeasible' GROUP BY 1, 2),
 gaps AS (SELECT request_id, plan_pos, min(w_start) AS g0, max(w_end) AS g1, string_agg(label, ',' ORDER BY label) AS gap FROM win WHERE verdict = 'out-of-range' GROUP BY 1, 2),
-pn AS (SELECT m.request_id, p.plan_pos, p.source_id, p.planner, m.need_pos, m.theme, m.temporal FROM met m JOIN plans p ON p.request_id = m.request_id AND p.source_id = m.chosen),
+pn AS (SELECT m.request_id, p.plan_pos, p.source_id, p.planner, m.need_pos, m.theme, m.temporal FROM met m JOIN plans p ON p.request_id = m.request_id AND p.source_id = m.chosen AND p.temporal = m.temporal),
 fb_steps AS (SELECT n.request_id, n.plan_pos, n.need_pos, n.source_id, n.theme || ':' || n.temporal AS need_key, coalesce(list(c.id ORDER BY c.rk) FILTER (c.id IS NOT NULL), []) AS opts,
  row_number() OVER (PARTITION BY n.request_id ORDER BY n.plan_pos, n.need_pos) AS st
  FROM pn n JOIN bad USING (request_id, plan_pos) LEFT JOIN cand c ON c.request_id = n.request_id AND c.theme = n.theme AND c.temporal = n.temporal AND NOT c.cloud AND c.shape = 'series' AND c.driver = 'stac'

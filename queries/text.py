@@ -101,19 +101,20 @@ def masked(spark, sf_dir):
 # ---- meaning -------------------------------------------------------------------------------------------------------
 
 def _sides(spark, sf_dir):
+    """Every vector is a question, and an example of its label for all others."""
     v = table(spark, sf_dir, "embeddings")
-    q = v.where("vec_id % 10 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("vec"))
-    e = v.where("vec_id % 10 <> 0").select(F.col("label").alias("rule"), F.col("vec_id").alias("example_id"), F.col("embedding").alias("vec"))
+    q = v.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("vec"))
+    e = v.select(F.col("label").alias("rule"), F.col("vec_id").alias("example_id"), F.col("embedding").alias("vec"))
     return q, e
 
 
 def _best(spark, sf_dir):
-    return M.best_per_rule(*_sides(spark, sf_dir))
+    return M.best_per_rule(*_sides(spark, sf_dir), others_only=True)
 
 
-_SIM_SQL = """sim AS (SELECT q.vec_id AS q_id, e.label AS rule, e.vec_id AS example_id, list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS s FROM embeddings q, embeddings e WHERE q.vec_id % 10 = 0 AND e.vec_id % 10 <> 0),
-best AS (SELECT q_id, rule, max(s) AS score, arg_max(example_id, s) AS example_id FROM sim GROUP BY 1, 2),
-kw AS (SELECT vec_id AS q_id, CASE WHEN vec_id % 3 = 0 THEN [CAST(vec_id // 10 % 9 AS INT)] ELSE CAST([] AS INT[]) END AS rules FROM embeddings WHERE vec_id % 10 = 0),
+_SIM_SQL = """sim AS (SELECT q.vec_id AS q_id, e.label AS rule, e.vec_id AS example_id, list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS s FROM embeddings q, embeddings e WHERE q.vec_id <> e.vec_id),
+best AS (SELECT q_id, rule, max(s) AS score, max(row(s, example_id))[2] AS example_id FROM sim GROUP BY 1, 2),
+kw AS (SELECT vec_id AS q_id, CASE WHEN vec_id % 3 = 0 THEN [CAST(vec_id // 10 % 9 AS INT)] ELSE CAST([] AS INT[]) END AS rules FROM embeddings),
 nul AS (SELECT q_id, score AS null_score FROM best WHERE rule = 9), rk AS (SELECT b.*, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, rule DESC) AS rn, max(score) OVER (PARTITION BY q_id) AS top FROM best b WHERE rule <> 9)"""
 
 
@@ -123,7 +124,7 @@ def closest(spark, sf_dir):
 
 
 def _keywords(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").where("vec_id % 10 = 0").selectExpr("vec_id AS q_id", "IF(vec_id % 3 = 0, array(CAST((vec_id div 10) % 9 AS INT)), CAST(array() AS array<int>)) AS rules")
+    return table(spark, sf_dir, "embeddings").selectExpr("vec_id AS q_id", "IF(vec_id % 3 = 0, array(CAST((vec_id div 10) % 9 AS INT)), CAST(array() AS array<int>)) AS rules")
 
 
 @query("x5_u2_rules_by_meaning", f"""WITH {_SIM_SQL}
@@ -145,13 +146,13 @@ def suggested(spark, sf_dir):
 
 def _cases(spark, sf_dir):
     """Evaluation cases: the label of a question is its primary rule, label 9 is off-topic."""
-    v = table(spark, sf_dir, "embeddings").where("vec_id % 10 = 0").selectExpr(
-        "vec_id AS q_id", "IF(label = 9, NULL, label) AS primary", "array(CAST((label + 1) % 9 AS INT)) AS allowed", "IF(vec_id % 20 = 0, 'tune', 'test') AS split")
+    v = table(spark, sf_dir, "embeddings").selectExpr(
+        "vec_id AS q_id", "IF(label = 9, NULL, label) AS primary", "array(CAST((label + 1) % 9 AS INT)) AS allowed", "IF(vec_id % 2 = 0, 'tune', 'test') AS split")
     off = _best(spark, sf_dir).where("rule = 9").select("q_id", F.col("score").alias("null_score"))
     return v.join(_keywords(spark, sf_dir).withColumnRenamed("rules", "kw"), "q_id").join(off, "q_id", "left").withColumn("null_score", F.coalesce("null_score", F.lit(-1.0)))
 
 
-_CASE_SQL = _SIM_SQL + """, cs AS (SELECT vec_id AS q_id, CASE WHEN label <> 9 THEN label END AS prim, [CAST((label + 1) % 9 AS INT)] AS allowed, CASE WHEN vec_id % 20 = 0 THEN 'tune' ELSE 'test' END AS split, coalesce(null_score, -1) AS ns, rules AS kwr
+_CASE_SQL = _SIM_SQL + """, cs AS (SELECT vec_id AS q_id, CASE WHEN label <> 9 THEN label END AS prim, [CAST((label + 1) % 9 AS INT)] AS allowed, CASE WHEN vec_id % 2 = 0 THEN 'tune' ELSE 'test' END AS split, coalesce(null_score, -1) AS ns, rules AS kwr
  FROM embeddings JOIN kw ON kw.q_id = vec_id LEFT JOIN nul ON nul.q_id = vec_id)"""
 _OK = "CASE WHEN prim IS NULL THEN len({p}) = 0 ELSE list_contains({p}, prim) AND len(list_filter({p}, lambda x: x <> prim AND NOT list_contains(allowed, x))) = 0 END"
 

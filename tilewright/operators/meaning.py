@@ -24,12 +24,13 @@ def pooled(tokens: Column, mask: Column) -> Column:
     return F.transform(mean, lambda x: x / norm)
 
 
-def best_per_rule(questions: DataFrame, examples: DataFrame, q_blocks: int | None = None, e_blocks: int | None = None) -> DataFrame:
+def best_per_rule(questions: DataFrame, examples: DataFrame, q_blocks: int | None = None, e_blocks: int | None = None, others_only: bool = False) -> DataFrame:
     """Similarity of every question to the closest example of every rule, with that example.
 
     A block matrix product: questions and examples are cut into blocks by hash, every pair of blocks meets in one task as
     two small matrices, and only the best example per (question, rule) leaves it.  A task holds at most about BLOCK x BLOCK
-    scores, whatever the size of either side.  questions: q_id, vec; examples: rule, example_id, vec.
+    scores, whatever the size of either side.  questions: q_id, vec; examples: rule, example_id, vec.  With `others_only` a question
+    that is an example itself is not compared with its own id.
     """
     p = q_blocks or max(1, math.ceil(questions.count() / BLOCK))
     r = e_blocks or max(1, math.ceil(examples.count() / BLOCK))
@@ -43,6 +44,9 @@ def best_per_rule(questions: DataFrame, examples: DataFrame, q_blocks: int | Non
             return pd.DataFrame({"q_id": [], "rule": [], "score": [], "example_id": []})
         es = es.sort_values(["rule", "example_id"], kind="stable")
         scores = np.stack(qs["vec"].to_numpy()).astype(np.float64) @ np.stack(es["vec"].to_numpy()).astype(np.float64).T
+        if others_only:
+            own = pd.Index(es["example_id"]).get_indexer(qs["q_id"])
+            scores[np.flatnonzero(own >= 0), own[own >= 0]] = -np.inf
         rules, first = np.unique(es["rule"].to_numpy(), return_index=True)
         ids = es["example_id"].to_numpy()
         out = []
@@ -52,7 +56,7 @@ def best_per_rule(questions: DataFrame, examples: DataFrame, q_blocks: int | Non
             out.append(pd.DataFrame({"q_id": qs["q_id"].to_numpy(), "rule": rule, "score": scores[np.arange(len(qs)), lo + at], "example_id": ids[lo + at]}))
         return pd.concat(out, ignore_index=True)
 
-    parts = q.groupBy("p", "r").cogroup(e.groupBy("p", "r")).applyInPandas(block, schema)
+    parts = q.groupBy("p", "r").cogroup(e.groupBy("p", "r")).applyInPandas(block, schema).where(F.col("score") > float("-inf"))
     return parts.groupBy("q_id", "rule").agg(F.max(F.struct("score", "example_id")).alias("b")).select("q_id", "rule", "b.score", "b.example_id")
 
 
