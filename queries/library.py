@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from queries.base import query, table
-from tilewright.functions import scalars as S
+from queries.base import ITEMS_SQL, items, query, table
+from tilewright.functions import polygons as P, scalars as S
 from tilewright.operators import ledger as L, library as B
-from tilewright.sources import sinks as K
+from tilewright.session import shared_folder
+from tilewright.sources import catalogue as C, sinks as K
 
 
 def held(spark, sf_dir):
@@ -338,3 +339,55 @@ def refreshed(spark, sf_dir):
     from tilewright.operators import windows
     r = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request_id"), F.col("o_orderdate").cast("date").alias("end"))
     return windows.refreshed(r, F.lit("1998-06-30").cast("date")).select("request_id", "old_end", "end")
+
+
+# ---- tables written, changed and read back -------------------------------------------------------------------------
+
+@query("s4_k1_item_table_search", f"""WITH {ITEMS_SQL},
+fresh AS (SELECT source_id, item_id, d + 40 AS d, 1.0::DOUBLE AS cloud_cover, x0, y0 FROM items WHERE item_id % 10 = 0
+ UNION ALL SELECT source_id, item_id + 10000000, d, cloud_cover, x0, y0 FROM items WHERE item_id % 50 = 0),
+now AS (SELECT * FROM fresh UNION ALL SELECT source_id, item_id, d, cloud_cover, x0, y0 FROM items WHERE item_id % 10 <> 0)
+SELECT source_id, item_id, strftime(d, '%Y-%m') AS month, cloud_cover FROM now
+WHERE source_id IN ('src_click', 'src_error') AND x0 <= 4.5 AND x0 + 7 >= 2 AND y0 <= 6 AND y0 + 7 >= 1.5 AND d BETWEEN DATE '2024-06-10' AND DATE '2024-10-20'""")
+def item_table(spark, sf_dir):
+    box = F.struct(*[F.col(c).cast("double").alias(n) for c, n in (("x0", "minx"), ("y0", "miny"), ("x1", "maxx"), ("y1", "maxy"))])
+    rows = (items(spark, sf_dir).withColumn("x1", F.col("x0") + 7).withColumn("y1", F.col("y0") + 7)
+            .select("source_id", "item_id", "d", "cloud_cover", box.alias("footprint"), F.create_map(F.lit("tile"), F.col("tile").cast("string")).alias("props")))
+    path = shared_folder(spark, "items")
+    K.write_items(rows, path)
+    moved = rows.where("item_id % 10 = 0").withColumn("d", F.date_add("d", 40)).withColumn("cloud_cover", F.lit(1.0))
+    K.upsert_items(moved.unionByName(rows.where("item_id % 50 = 0").withColumn("item_id", F.col("item_id") + 10000000)), path)
+    now = K.read_items(spark, path)
+    found = [C.search_table(now, s, (2.0, 1.5, 4.5, 6.0), "2024-06-10", "2024-10-20") for s in ("src_click", "src_error")]
+    return found[0].unionByName(found[1]).select("source_id", "item_id", "month", "cloud_cover")
+
+
+@query("k5_appended_log", f"""WITH {TR_SQL} SELECT plan_id, status, CAST(count(*) AS BIGINT) AS n, CAST(sum(bytes) AS BIGINT) AS bytes, max(seq) AS last_seq FROM tr GROUP BY 1, 2""")
+def appended_log(spark, sf_dir):
+    path = shared_folder(spark, "log")
+    t = transfers(spark, sf_dir)
+    for part in (0, 1):  # two runs append to one log
+        K.append_log(t.where(F.col("seq") % 2 == part), path)
+    return spark.read.parquet(path).groupBy("plan_id", "status").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.max("seq").alias("last_seq"))
+
+
+@query("k6_saved_documents", """SELECT CAST(o_custkey % 20 AS INT) AS project_id, o_orderkey AS request_id, CASE WHEN o_custkey % 20 < 5 THEN 'revised' ELSE 'ready' END AS status, strftime(o_orderdate, '%Y-%m-%d') AS "start" FROM orders""")
+def saved_documents(spark, sf_dir):
+    path = shared_folder(spark, "requests")
+    r = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).cast("int").alias("project_id"), F.col("o_orderkey").alias("request_id"), F.lit("ready").alias("status"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("start"))
+    K.save_documents(r, path, "project_id")
+    K.save_documents(r.where("project_id < 5").withColumn("status", F.lit("revised")), path, "project_id")  # only these projects are rewritten
+    return spark.read.schema(r.schema).json(path).select("project_id", "request_id", "status", "start")
+
+
+@query("g10_box_covers_and_overlaps", """WITH b AS (SELECT o_orderkey AS k, CAST(o_custkey % 50 AS DOUBLE) AS x, CAST(o_orderkey % 40 AS DOUBLE) AS y,
+ CASE o_orderkey % 6 WHEN 0 THEN 0 WHEN 1 THEN 5e-10 WHEN 2 THEN 1e-6 WHEN 3 THEN 3 WHEN 4 THEN 10 ELSE -2 END::DOUBLE AS s FROM orders)
+SELECT k, -1e-9::DOUBLE <= s AND x + 9 + 1e-9::DOUBLE >= x + s + 9 AND y + 8 + 1e-9::DOUBLE >= y + 4 AS covers, s <= 9 AND s + 9 >= 0 AS touches,
+ round(greatest(0, least(x + 9, x + s + 9) - greatest(x, x + s)) * 4, 6) AS shared FROM b""")
+def box_relations(spark, sf_dir):
+    m = F.col("k") % 6
+    b = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 50).cast("double").alias("x"), (F.col("o_orderkey") % 40).cast("double").alias("y")).withColumn(
+        "s", F.when(m == 0, 0.0).when(m == 1, 5e-10).when(m == 2, 1e-6).when(m == 3, 3.0).when(m == 4, 10.0).otherwise(-2.0))
+    box = lambda x, y, w, h: F.struct(x.alias("minx"), y.alias("miny"), (x + w).alias("maxx"), (y + h).alias("maxy"))
+    both = b.withColumn("a", box(F.col("x"), F.col("y"), 9, 8)).withColumn("b", box(F.col("x") + F.col("s"), F.col("y"), 9, 4))
+    return both.select("k", P.box_covers(F.col("a"), F.col("b")).alias("covers"), P.boxes_touch(F.col("a"), F.col("b")).alias("touches"), F.round(P.box_overlap(F.col("a"), F.col("b")), 6).alias("shared"))

@@ -159,3 +159,26 @@ def test_points_counted_in_areas_are_those_clipped(spark):
     points = spark.range(4000).selectExpr("id AS key", "CAST((id * 7) % 163 AS DOUBLE) / 10 - 5 AS x", "CAST((id * 11) % 113 AS DOUBLE) / 10 - 2 AS y")
     pairs = X.clip_points(points, areas, 1.0).groupBy("area_id").agg(F.count("*").alias("n"), F.min("key").alias("k")).collect()
     assert sorted(map(tuple, X.count_points(points, areas, 1.0).collect())) == sorted(map(tuple, pairs)) and len(pairs) == 2
+
+
+def test_item_table_prunes_and_moves_items(spark, tmp_path):
+    from tilewright.sources import catalogue as C
+    path = str(tmp_path / "items")
+    rows = [("s/1", f"i{k}", dt.date(2024, 1 + k % 3, 5), 10.0, box(k, 0, k + 1, 1)) for k in range(9)] + [("t", "u", None, None, box(0, 0, 1, 1))]
+    make = lambda r: spark.createDataFrame(r, f"source_id string, item_id string, d date, cloud_cover double, footprint {BOX}")
+    K.write_items(make(rows), path)
+    read = lambda: {(r.source_id, r.item_id): (r.month, r.cloud_cover) for r in K.read_items(spark, path).collect()}
+    assert read()[("t", "u")] == ("undated", None) and len(read()) == 10
+    # the only item of a month moves away, others change, one is new and comes twice
+    gone = [("s/1", f"i{k}", dt.date(2025, 7, 1), 1.0, box(k, 0, k + 1, 1)) for k in (0, 3, 6)]
+    K.upsert_items(make(gone + [("s/1", "new", dt.date(2024, 2, 1), 2.0, box(0, 0, 1, 1)), ("s/1", "new", dt.date(2024, 2, 2), 3.0, box(0, 0, 1, 1))]), path)
+    now = read()
+    assert len(now) == 11 and {now[("s/1", f"i{k}")] for k in (0, 3, 6)} == {("2025-07", 1.0)} and now[("s/1", "new")] == ("2024-02", 3.0)
+    assert now[("s/1", "i1")] == ("2024-02", 10.0) and "2024-01" not in {m for m, _ in now.values()}
+    K.upsert_items(make([]), path)
+    assert read() == now
+    hit = C.search_table(K.read_items(spark, path), "s/1", (4.0, 0.0, 9.0, 1.0), "2024-02-01", "2024-03-31")
+    plan = hit._jdf.queryExecution().toString()
+    assert sorted(r.item_id for r in hit.collect()) == ["i4", "i5", "i7", "i8"]
+    filters = next(line for line in plan.splitlines() if "PartitionFilters" in line)
+    assert "month" in filters.split("PushedFilters")[0] and "source_id" in filters.split("PushedFilters")[0] and "footprint.minx" in filters.split("PushedFilters")[1]

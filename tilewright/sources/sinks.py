@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+
+from tilewright.session import write_stage
 
 
 def merge_items(old: DataFrame, new: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -61,3 +63,61 @@ def write_lines(lines: DataFrame, path: str) -> None:
     """
     ordered = lines.repartitionByRange("report_id", "section", "line_no").sortWithinPartitions("report_id", "section", "line_no")
     ordered.select("line").write.mode("overwrite").text(path)
+
+
+# ---- the item table, partitioned by source and month ---------------------------------------------------------------
+
+ITEM_PARTITIONS = ("source_id", "month")
+
+
+def _dated(items: DataFrame) -> DataFrame:
+    return items.withColumn("month", F.coalesce(F.date_format("d", "yyyy-MM"), F.lit("undated")))
+
+
+def write_items(items: DataFrame, path: str, partitions: int | None = None) -> None:
+    """Catalogue items as a Parquet table partitioned by source and month of `d`; partitions that occur in `items` are replaced.
+
+    Rows are dealt by ranges of source, month and place, so a month with much of the catalogue is written by many tasks, and a file
+    holds neighbouring footprints, whose bounds let a search skip it.
+    """
+    by = [*ITEM_PARTITIONS, "footprint.minx", "footprint.miny", "item_id"]
+    rows = _dated(items)
+    dealt = rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)
+    upsert_partitions(dealt.sortWithinPartitions(*by), path, *ITEM_PARTITIONS)
+
+
+def read_items(spark: SparkSession, path: str) -> DataFrame:
+    """The item table; months stay text."""
+    schema = spark.read.parquet(path).schema
+    for field in schema:
+        if field.name == "month":
+            field.dataType = T.StringType()
+    return spark.read.schema(schema).parquet(path)
+
+
+def upsert_items(new: DataFrame, path: str) -> None:
+    """New and changed items put into the table: a row replaces the one with its source and id, wherever the old one's month was.
+
+    Only partitions that gain or lose a row are read and rewritten.  Of equal ids in `new` the last by date counts, then the one of largest hash.
+    """
+    spark = new.sparkSession
+    order = F.struct(F.col("d"), F.xxhash64(*[c for c in new.columns if c not in ("props", "assets")]))
+    one = new.groupBy("source_id", "item_id").agg(F.max_by(F.struct(*new.columns), order).alias("r")).select("r.*")
+    fresh = write_stage(_dated(one), "items")
+    old = read_items(spark, path)
+    moved = old.join(fresh.select("source_id", "item_id"), ["source_id", "item_id"], "left_semi").select(*ITEM_PARTITIONS)
+    touched = write_stage(moved.union(fresh.select(*ITEM_PARTITIONS)).distinct(), "touched")
+    kept = old.join(touched, list(ITEM_PARTITIONS), "left_semi").join(fresh.select("source_id", "item_id"), ["source_id", "item_id"], "left_anti")
+    merged = write_stage(kept.unionByName(fresh, allowMissingColumns=True), "merged")
+    write_items(merged.drop("month"), path)
+    empty = touched.join(merged.select(*ITEM_PARTITIONS).distinct(), list(ITEM_PARTITIONS), "left_anti")
+    _drop_partitions(spark, path, empty)
+
+
+def _drop_partitions(spark: SparkSession, path: str, gone: DataFrame) -> None:
+    """Folders of partitions that lost their last row; as many as months that an upsert emptied."""
+    jvm = spark.sparkContext._jvm
+    name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for r in gone.toLocalIterator():
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/source_id={name(r.source_id)}/month={name(r.month)}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
