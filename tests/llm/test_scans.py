@@ -83,6 +83,25 @@ def test_licences(spark):
     assert licences.scanned(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_licences_wrapped_embedded_and_several(spark):
+    rng = random.Random(3)
+    plain = "the old harbour lies north of three towns that met every spring to trade salt and wool for grain".split()
+    words = lambda n: " ".join(rng.choice(plain) for _ in range(n))
+    cases = [("This work is licensed under the\nGNU General Public License, version 3", {(0, "gpl")}),
+             (f"{words(40)}\n{words(3)} Released under\nthe MIT License {words(60)}", {(1, "mit")}),
+             (f"{words(400)} Licensed under the Apache License, Version 2.0 {words(500)}", {(0, "apache")}),
+             ("Licensed under the MIT license and\nthe Apache License, Version 2.0", {(0, "mit"), (0, "apache")}),
+             (f"Released under the MIT License. {words(70)} All rights reserved. {words(30)}", {(0, "mit"), (0, "reserved")}),
+             (f"{words(30)} This work is licensed under the\n\nGNU {words(30)}", set()), (words(2000), set()),
+             ("Licensed under the GNU Lesser General Public License, version 2", {(0, "lgpl")}), ("Licensed under CC BY-NC 4.0\nx", {(0, "cc-by-nc")})]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    mine = spark.createDataFrame([(10 ** 6 + i, t, None, None) for i, (t, _) in enumerate(cases)], DOCS).select("doc_id", "text")
+    got = [r for r in licences.scanned(docs.union(mine)).collect() if r.doc_id >= 10 ** 6]
+    for i, (text, want) in enumerate(cases):
+        assert {(r.line, r.family) for r in got if r.doc_id == 10 ** 6 + i} == want, text[:200]
+    assert len(got) == sum(len(w) for _, w in cases) and all(r.text in cases[r.doc_id - 10 ** 6][0] for r in got)
+
+
 def test_ranking_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     odd = spark.createDataFrame([(10 ** 7, None, None, None), (10 ** 7 + 1, "", None, None), (None, "x", None, None), (0, "again", None, None)], DOCS).select("doc_id", "text")

@@ -1,9 +1,11 @@
 """Licence scan: a trained paragraph classifier on word n-grams, an unknown class, and templates that confirm what it says.
 
-Every line of every text is a paragraph.  Its words (punctuation left out, A-Z lower-cased), word pairs and triples are hashed
-into a fixed number of columns; a logistic regression with one class for each family and one for unknown scores it.  The
-probability that a family needs is set on held-out paragraphs.  A family counts only if one of its templates is contained
-in the paragraph to a fixed share, so a chance likeness of single words is not enough.
+A paragraph ends at a blank line or the text's end.  It is read in overlapping windows of words across its line ends, so a statement
+may be wrapped, stand in the middle of a long paragraph or next to another one.  The words of a window (punctuation left out, A-Z
+lower-cased), word pairs and triples are hashed into a fixed number of columns; a logistic regression with one class for
+each family and one for unknown scores it.  The odds of a family against unknown that count are set on held-out windows.  A family
+counts only if one of its templates is contained in the window to a fixed share, so a chance likeness of single words is not
+enough; what the template matches is the statement.
 """
 
 from __future__ import annotations
@@ -20,7 +22,9 @@ from tilewright.llm.words import chunks, mix, word_hashes, word_spans
 COLUMNS = 1 << 12
 BACKGROUND = 4000     # paragraphs of the corpus taken as examples of none, those of least hash
 FALSE_ALARMS = 0.001  # share of held-out background that may pass
-CONTAINED = 0.6       # share of a template's word pairs that the paragraph has to hold
+CONTAINED = 0.6       # share of a template's word n-grams that the window has to hold
+WIDTHS = (4, 8, 16, 32)  # words of the windows, each a quarter of its width after the one before: a statement fills a good part of one
+EXAMPLE = 16          # words of an example taken from the corpus
 _STRIP = np.arange(256, dtype=np.uint8)
 _STRIP[list(b".,;:()[]{}\"'!?*#<>|_`")] = 0x20
 _STRIP[[0x0A, 0x0D]] = [0x20, 0x20]
@@ -82,17 +86,6 @@ def _grams(data, at):
     return np.concatenate(parts)[order], np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(at) - 1))]).astype(np.int64)
 
 
-def logits(data, at, weights: np.ndarray) -> np.ndarray:
-    """Sums of the columns' weights over each text's n-grams, divided by the root of their number."""
-    h, cut = _grams(data, at)
-    n = np.diff(cut)
-    out = np.zeros((len(n), weights.shape[1]), np.float32)
-    some = np.flatnonzero(n)
-    if len(some):
-        out[some] = np.add.reduceat(weights[(h % np.uint64(len(weights))).astype(np.int64)], cut[some], axis=0) / np.sqrt(n[some])[:, None]
-    return out
-
-
 def _examples(seed: int) -> tuple[list[str], list[int]]:
     """Statements made from the templates: filled in, embedded in other words, cut at the end, and in other letter cases."""
     rng = np.random.default_rng(seed)
@@ -117,9 +110,9 @@ def _examples(seed: int) -> tuple[list[str], list[int]]:
 
 def trained(background: list[str], rounds: int = 150, seed: int = 11) -> dict:
     """Weights and, for each family, the probability it needs, from templates and background paragraphs."""
-    texts, kinds = _examples(seed)
     near = _template_share([t for t in background], None).max(axis=1) >= CONTAINED if background else np.zeros(0, bool)
     others = [t for t, n in zip(background, near) if not n]
+    texts, kinds = _examples(seed)
     texts, kinds = texts + others, np.array(kinds + [0] * len(others))
     h, cut = grams(texts)
     column = (h % np.uint64(COLUMNS)).astype(np.int64)
@@ -151,7 +144,8 @@ def trained(background: list[str], rounds: int = 150, seed: int = 11) -> dict:
         weights -= 0.5 * g / (np.sqrt(square) + 1e-6)
     p = probabilities()
     none = p[test & (kinds == 0)]
-    needs = np.maximum(0.5, np.quantile(none[:, 1:], 1 - FALSE_ALARMS, axis=0)) if len(none) else np.full(len(FAMILIES), 0.5)
+    odds = none[:, 1:] / (none[:, 1:] + none[:, :1])
+    needs = np.maximum(0.5, np.quantile(odds, 1 - FALSE_ALARMS, axis=0)) if len(none) else np.full(len(FAMILIES), 0.5)
     return {"weights": weights, "needs": needs.astype(np.float32)}
 
 
@@ -162,6 +156,7 @@ def _template_pairs():
 
 
 _PAIRS = _template_pairs()
+_LENGTHS = [len(re.sub(r"\{[vyw]\}", " ", t).split()) for _, t in TEMPLATES]
 
 
 def _template_share(texts: list[str], families) -> np.ndarray:
@@ -176,48 +171,122 @@ def _template_share(texts: list[str], families) -> np.ndarray:
     return out
 
 
-def _paragraphs(batch):
-    """Lines of each text of a chunk that hold more than white space, as bytes with offsets, and their texts and line numbers."""
-    for rows, data, at in chunks(batch, "text"):
-        edges = np.union1d(np.flatnonzero(data == 10) + 1, at)
-        edges = edges[edges <= len(data)]
-        if len(edges) < 2:
-            continue
-        own = np.searchsorted(at, edges[:-1], "right") - 1
-        first = np.concatenate([[True], own[1:] != own[:-1]])
-        number = np.arange(len(own)) - np.maximum.accumulate(np.where(first, np.arange(len(own)), 0))
-        yield rows, data, edges.astype(np.int64), own, number
+class _Words:
+    """Words of a chunk with the n-grams that begin at each of them inside its paragraph."""
+
+    def __init__(self, data, at):
+        self.starts, self.ends, self.first = word_spans(_STRIP[data], at)
+        n = len(self.starts)
+        h = word_hashes(_STRIP[data], self.starts, self.ends)
+        self.owner = np.searchsorted(self.first, np.arange(n), "right") - 1
+        lines = np.concatenate([[0], np.cumsum(data == 10)])
+        self.line = lines[self.starts] - lines[at[self.owner]]
+        fresh = np.ones(n, bool)
+        fresh[1:] = (self.owner[1:] != self.owner[:-1]) | (np.diff(self.line) > 1)
+        heads = np.flatnonzero(fresh)
+        self.head = heads[np.cumsum(fresh) - 1]
+        self.tail = np.append(heads[1:], n)[np.cumsum(fresh) - 1]
+        pairs, triples = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        pairs[:-1] = mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
+        triples[:-2] = mix(pairs[:-2] * np.uint64(0xC2B2AE3D27D4EB4F) + h[2:])
+        self.grams = [h, pairs, triples]
+
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """First word and end of the windows of all paragraphs; one begins only where the one before leaves words over."""
+        at, step = np.arange(len(self.starts)), width // 4
+        place, left = at - self.head, self.tail - at
+        lo = at[(place % step == 0) & ((place == 0) | (left > width - step))]
+        return lo, np.minimum(lo + width, self.tail[lo])
+
+    def sums(self, weights) -> list[np.ndarray]:
+        """Running sums of the columns' weights over words, pairs and triples."""
+        out = []
+        for h in self.grams:
+            out.append(np.zeros((len(h) + 1, weights.shape[1])))
+            np.cumsum(weights[(h % np.uint64(len(weights))).astype(np.int64)], axis=0, out=out[-1][1:])
+        return out
+
+    @staticmethod
+    def logits(lo, hi, running) -> np.ndarray:
+        """Sums of the columns' weights over each window's n-grams, divided by the root of their number."""
+        total, count = 0.0, 0
+        for k, sums in enumerate(running):
+            end = np.maximum(hi - k, lo)
+            total, count = total + sums[end] - sums[lo], count + end - lo
+        return total / np.sqrt(count)[:, None]
+
+    def statement(self, lo: int, hi: int, family: str) -> tuple[float, int, int]:
+        """Greatest share of a template of the family whose n-grams the window holds, and the words that it matches there."""
+        inside = [h[lo:max(hi - k, lo)] for k, h in enumerate(self.grams)]
+        own, best = np.unique(np.concatenate(inside)), (0.0, lo, lo)
+        for j, (kind, _) in enumerate(TEMPLATES):
+            if kind != family or (share := np.isin(_PAIRS[j], own, assume_unique=True).mean()) <= best[0]:
+                continue
+            hits = sum(np.pad(np.isin(h, _PAIRS[j]).astype(int), (0, hi - lo - len(h))) for h in inside)
+            runs = np.convolve(hits, np.ones(_LENGTHS[j], int))[_LENGTHS[j] - 1:]  # matches in so many words from each on
+            start = int(np.argmax(runs * (hits > 0)))
+            last = int(np.flatnonzero(hits[start:start + _LENGTHS[j]])[-1])
+            best = (float(share), lo + start, lo + start + last + 1)
+        return best
+
+
+def _apart(found: list[tuple]) -> list[tuple]:
+    """Statements (first word, end, share, odds, family) of one chunk without those that overlap a better one by half of the shorter."""
+    kept: list[tuple] = []
+    for s in sorted(found, key=lambda s: (-s[2], -s[3], s[0], s[4])):
+        if not any(min(s[1], t[1]) - max(s[0], t[0]) > 0.5 * min(s[1] - s[0], t[1] - t[0]) for t in kept if t[0] < s[1] and s[0] < t[1]):
+            kept.append(s)
+    return sorted(kept)
+
+
+def _by_place(found: list[tuple]) -> list[list[tuple]]:
+    """Statements in groups of which none overlaps one of another group."""
+    groups, end = [], -1
+    for s in sorted(found):
+        if s[0] >= end:
+            groups.append([])
+        groups[-1].append(s)
+        end = max(end, s[1])
+    return groups
 
 
 def scanned(docs: DataFrame, background: int = BACKGROUND) -> DataFrame:
     """(doc_id, line, family, probability, contained, text) of every licence statement in `docs` (doc_id, text).
 
-    line counts from 0.  probability is the classifier's, contained the share of the best template's word n-grams in the line.  A
-    line has one family, the likeliest.  Null and empty texts and documents without statements have no rows; lines are read whole
-    whatever their length.  Repeated rows give repeated results; a null id stays null.  An empty table gives an empty one.
-    The classifier learns from the templates and from at most `background` lines of the corpus, those of least hash (the
-    bound of the sample), without lines that hold a template.
+    line, from 0, is the one where the statement begins; probability is the classifier's odds of the family against unknown,
+    contained the share of the best template's word n-grams in the window, text the matched words as they stand.  A paragraph may name any
+    number of families; of statements that share most of their words the best contained one counts.  Null and empty texts and
+    documents without statements have no rows; texts are read whole whatever their length.  Repeated rows give repeated
+    results; a null id stays null.  An empty table gives an empty one.
+    The classifier learns from the templates and from at most `background` lines of the corpus, those of least hash, of each at most
+    EXAMPLE words (the bounds of the sample), without those that hold a template.
     """
     lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).where(F.trim("line") != "")
     sample = lines.select("line", F.xxhash64("line").alias("h")).orderBy("h", "line").limit(background)
-    model = trained([r.line for r in sample.select(F.substring("line", 1, 2000).alias("line")).collect()])
+    words = F.split(F.trim("line"), "\\s+")
+    window = F.array_join(F.slice(words, (F.pmod(F.col("h"), F.greatest(F.size(words) - EXAMPLE, F.lit(0)) + 1) + 1).cast("int"), EXAMPLE), " ")
+    model = trained([r.line for r in sample.select(window.alias("line")).collect()])
 
     def work(batches):
         for batch in batches:
-            for rows, data, at, own, number in _paragraphs(batch):
-                z = logits(_STRIP[data], at, model["weights"])
-                p = np.exp(z - z.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
-                best = p[:, 1:].argmax(axis=1)
-                value = p[np.arange(len(p)), best + 1]
-                hit = np.flatnonzero((value >= model["needs"][best]) & (value > p[:, 0]))
-                if not len(hit):
+            for rows, data, at in chunks(batch, "text"):
+                words = _Words(data, at)
+                if not len(words.starts):
                     continue
-                texts = [data[at[i]:at[i + 1]].tobytes().decode().rstrip("\n") for i in hit]
-                share = _template_share(texts, [FAMILIES[b] for b in best[hit]]).max(axis=1)
-                ok = np.flatnonzero(share >= CONTAINED)
-                ids = rows.column("doc_id").take(pa.array(own[hit[ok]]))
-                yield [ids, number[hit[ok]], [FAMILIES[b] for b in best[hit[ok]]], value[hit[ok]].astype(float), share[ok], [texts[i] for i in ok]]
+                running, found = words.sums(model["weights"]), []
+                for width in WIDTHS:
+                    lo, hi = words.windows(width)
+                    z = words.logits(lo, hi, running)
+                    odds = 1 / (1 + np.exp(np.clip(z[:, :1] - z[:, 1:], -60, 60)))
+                    for w, f in np.argwhere(odds >= model["needs"]).tolist():
+                        share, first, end = words.statement(int(lo[w]), int(hi[w]), FAMILIES[f])
+                        if share >= CONTAINED:
+                            found.append((first, end, share, float(odds[w, f]), FAMILIES[f]))
+                told = [s for group in _by_place(found) for s in _apart(group)]
+                if told:
+                    first = np.array([s[0] for s in told])
+                    texts = [data[words.starts[s[0]]:words.ends[s[1] - 1]].tobytes().decode() for s in told]
+                    yield [rows.column("doc_id").take(pa.array(words.owner[first])), words.line[first], [s[4] for s in told], [s[3] for s in told], [s[2] for s in told], texts]
 
     return over_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"),
                         "doc_id long, line int, family string, probability double, contained double, text string", work)

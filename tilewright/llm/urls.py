@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 from tilewright.llm.stages import stage
@@ -9,8 +11,7 @@ from tilewright.llm.stages import stage
 #: (verdict, rule): the host up to the first slash, the beginning of the path from there on.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 DAMPING = 0.85
-TOLERANCE = 1e-6
-MOST_ROUNDS = 50
+TOLERANCE = 1e-5  # of an even share: the movement in all at which scores count as final
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = "(?i)(?:href|src)\\s*=\\s*[\"']?\\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\\s<>\\\\]+)"
 
@@ -46,25 +47,28 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return named.join(total, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("weight"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING) -> DataFrame:
-    """(host, score) by PageRank personalised to `seeds` (host, seed; seeds sum to 1) over `edges` (src, dst, weight).
+def spread(edges: DataFrame, seeds: DataFrame, hosts: int, damping: float = DAMPING) -> DataFrame:
+    """(host, score) by PageRank personalised to `seeds` (host, seed; seeds sum to 1) over `edges` (src, dst, weight) between `hosts` hosts.
 
-    A host without links gives its score back to the seeds.  Rounds go on until scores move by less than TOLERANCE in all.
+    A host without links gives its score back to the seeds.  Rounds go on until scores move in all by less than TOLERANCE of an even share, so
+    no host's score is further from its end than that times 1 / (1 - damping).  Each round moves them by `damping` of the one before at
+    most, so their number grows with the logarithm of the number of hosts; far more raise an error rather than stop early.
     """
+    enough = TOLERANCE / max(1, hosts)
     seeds = stage(seeds, "seeds")
     now, ends = seeds.select("host", F.col("seed").alias("score")), edges.select(F.col("src").alias("host")).distinct()
     if not edges.take(1) or not seeds.take(1):
         return now
-    for _ in range(MOST_ROUNDS):
+    for _ in range(20 + 2 * math.ceil(math.log(enough) / math.log(damping))):
         lost = now.join(ends, "host", "left_anti").agg(F.sum("score")).first()[0] or 0.0
         sent = now.join(edges, now["host"] == edges["src"]).groupBy("dst").agg(F.sum(F.col("score") * F.col("weight") * damping).alias("got"))
         back = seeds.select("host", (F.col("seed") * (1 - damping + damping * lost)).alias("got"))
         new = stage(sent.select(F.col("dst").alias("host"), "got").union(back).groupBy("host").agg(F.sum("got").alias("score")), "scores")
         moved = new.join(now.withColumnRenamed("score", "old"), "host", "full").agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
         now = new
-        if moved < TOLERANCE:
-            break
-    return now
+        if moved < enough:
+            return now
+    raise RuntimeError("scores of hosts do not settle: weights of a host's links must sum to 1")
 
 
 def judged(pages: DataFrame, rules=RULES, threshold: float = 1.0, least: float = 0.2) -> DataFrame:
@@ -90,11 +94,12 @@ def judged(pages: DataFrame, rules=RULES, threshold: float = 1.0, least: float =
         some = each.where(F.col(column) * 2 > F.col("n")).select("host", F.col(column).alias("k"))
         return some.select("host", (F.col("k") / F.lit(some.agg(F.sum("k")).first()[0] or 1)).alias("seed"))
 
-    trust = spread(edges, seeds("good"))
+    n_hosts = each.count()
+    trust = spread(edges, seeds("good"), n_hosts)
     total = edges.groupBy("dst").agg(F.sum("weight").alias("in"))
     turned = stage(edges.join(total, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("weight") / F.col("in")).alias("weight")), "edges")
-    distrust = spread(turned, seeds("bad"))
-    share = least / max(1, each.count())
+    distrust = spread(turned, seeds("bad"), n_hosts)
+    share = least / max(1, n_hosts)
     hosts = (each.select("host").join(trust.withColumnRenamed("score", "trust"), "host", "left").join(distrust.withColumnRenamed("score", "distrust"), "host", "left")
              .select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")))
     bad = (F.col("distrust") > threshold * F.col("trust")) & (F.col("distrust") > share)
