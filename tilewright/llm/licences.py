@@ -171,6 +171,27 @@ def _template_share(texts: list[str], families) -> np.ndarray:
     return out
 
 
+def _telling():
+    """Sorted n-grams by which a window that could hold a template shows itself.
+
+    Of the n-grams of a template of t words, t are words, so a share of CONTAINED takes two pairs or triples of it where t is 4 or more, one
+    pair where t is 3, and a word where t is 2 or less.
+    """
+    long, short, words = [], [], []
+    for (_, template), length in zip(TEMPLATES, _LENGTHS):
+        h, _ = grams([re.sub(r"\{[vyw]\}", " ", template)])
+        n = (len(h) + 3) // 3 if len(h) > 1 else 1  # n words give 3 n - 3 n-grams
+        (long if n >= 4 else short if n == 3 else words).append(h[n:] if n >= 3 else h[:n])
+    return [np.unique(np.concatenate(x)) if x else np.zeros(0, np.uint64) for x in (long, short, words)]
+
+
+def _among(h: np.ndarray, names: np.ndarray) -> np.ndarray:
+    return names[np.minimum(np.searchsorted(names, h), len(names) - 1)] == h if len(names) else np.zeros(len(h), bool)
+
+
+_LONG, _SHORT, _SINGLE = _telling()
+
+
 class _Words:
     """Words of a chunk with the n-grams that begin at each of them inside its paragraph."""
 
@@ -198,21 +219,22 @@ class _Words:
         lo = at[(place % step == 0) & ((place == 0) | (left > width - step))]
         return lo, np.minimum(lo + width, self.tail[lo])
 
-    def sums(self, weights) -> list[np.ndarray]:
-        """Running sums of the columns' weights over words, pairs and triples."""
-        out = []
-        for h in self.grams:
-            out.append(np.zeros((len(h) + 1, weights.shape[1])))
-            np.cumsum(weights[(h % np.uint64(len(weights))).astype(np.int64)], axis=0, out=out[-1][1:])
-        return out
-
-    @staticmethod
-    def logits(lo, hi, running) -> np.ndarray:
-        """Sums of the columns' weights over each window's n-grams, divided by the root of their number."""
-        total, count = 0.0, 0
-        for k, sums in enumerate(running):
-            end = np.maximum(hi - k, lo)
-            total, count = total + sums[end] - sums[lo], count + end - lo
+    def hopeful(self) -> np.ndarray:
+        """Running sums of telling n-grams: a window needs two of them to hold a template."""
+        word, pair, triple = self.grams
+        n = 2 * (_among(word, _SINGLE).astype(np.int32) + _among(pair, _SHORT) + _among(triple, _SHORT)) + _among(pair, _LONG) + _among(triple, _LONG)
+        return np.concatenate([[0], np.cumsum(n)])
+
+    def logits(self, lo, hi, weights) -> np.ndarray:
+        """Sums of the columns' weights over each window's n-grams, divided by the root of their number; only words of windows are summed."""
+        n = len(self.starts)
+        cover = np.cumsum(np.bincount(lo, minlength=n + 1) - np.bincount(hi, minlength=n + 1))[:n] > 0
+        start, total, count = (np.cumsum(cover) - 1)[lo], 0.0, 0
+        for k, h in enumerate(self.grams):
+            column = (h[cover] & np.uint64(len(weights) - 1)).astype(np.int64)
+            sums = np.concatenate([np.zeros((1, weights.shape[1])), np.cumsum(weights[column], axis=0, dtype=np.float64)])
+            size = np.maximum(hi - lo - k, 0)
+            total, count = total + sums[start + size] - sums[start], count + size
         return total / np.sqrt(count)[:, None]
 
     def statement(self, lo: int, hi: int, family: str) -> tuple[float, int, int]:
@@ -273,15 +295,18 @@ def scanned(docs: DataFrame, background: int = BACKGROUND) -> DataFrame:
                 words = _Words(data, at)
                 if not len(words.starts):
                     continue
-                running, found = words.sums(model["weights"]), []
-                for width in WIDTHS:
-                    lo, hi = words.windows(width)
-                    z = words.logits(lo, hi, running)
-                    odds = 1 / (1 + np.exp(np.clip(z[:, :1] - z[:, 1:], -60, 60)))
-                    for w, f in np.argwhere(odds >= model["needs"]).tolist():
-                        share, first, end = words.statement(int(lo[w]), int(hi[w]), FAMILIES[f])
-                        if share >= CONTAINED:
-                            found.append((first, end, share, float(odds[w, f]), FAMILIES[f]))
+                telling, found = words.hopeful(), []
+                lo, hi = (np.concatenate(x) for x in zip(*map(words.windows, WIDTHS)))
+                some = telling[hi] - telling[lo] >= 2  # others cannot hold a template, whatever their odds
+                lo, hi = lo[some], hi[some]
+                if not len(lo):
+                    continue
+                z = words.logits(lo, hi, model["weights"])
+                odds = 1 / (1 + np.exp(np.clip(z[:, :1] - z[:, 1:], -60, 60)))
+                for w, f in np.argwhere(odds >= model["needs"]).tolist():
+                    share, first, end = words.statement(int(lo[w]), int(hi[w]), FAMILIES[f])
+                    if share >= CONTAINED:
+                        found.append((first, end, share, float(odds[w, f]), FAMILIES[f]))
                 told = [s for group in _by_place(found) for s in _apart(group)]
                 if told:
                     first = np.array([s[0] for s in told])
