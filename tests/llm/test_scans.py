@@ -83,6 +83,16 @@ def test_licences(spark):
     assert licences.scanned(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_background_is_the_lines_of_least_hash(spark):
+    rows = [(i, f"line {i % 700} of many\nthe same line in every text\n \n") for i in range(3000)] + [(None, None), (-1, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    lines = docs.selectExpr("explode(split(text, '\n')) AS line").where("trim(line) <> ''").selectExpr("line", "xxhash64(line) AS h")
+    least = [r.line for r in sorted(lines.collect(), key=lambda r: (r.h, r.line))]
+    for wanted in (0, 1, 5, 400, 6000, 9000):
+        assert licences._background(docs, wanted) == least[:wanted]
+    assert licences._background(docs.limit(0), 5) == []
+
+
 def test_licences_wrapped_embedded_and_several(spark):
     rng = random.Random(3)
     plain = "the old harbour lies north of three towns that met every spring to trade salt and wool for grain".split()

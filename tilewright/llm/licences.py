@@ -272,6 +272,24 @@ def _by_place(found: list[tuple]) -> list[list[tuple]]:
     return groups
 
 
+def _background(docs: DataFrame, wanted: int) -> list[str]:
+    """At most EXAMPLE words of each of the `wanted` lines of least hash.
+
+    The number of lines gives a hash that about four times as many stay below, so a task sends only lines that can be among them, however
+    many tasks there are.  If fewer than `wanted` stay below it, it rises; the lines found are the same for every such hash.
+    """
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).where(F.trim("line") != "").select("line", F.xxhash64("line").alias("h"))
+    words = F.split(F.trim("line"), "\\s+")
+    window = F.array_join(F.slice(words, (F.pmod(F.col("h"), F.greatest(F.size(words) - EXAMPLE, F.lit(0)) + 1) + 1).cast("int"), EXAMPLE), " ")
+    share = 4 * wanted / max(lines.count(), 1)
+    while True:
+        low = lines.where(F.col("h") < -(1 << 63) + int(share * (1 << 64))) if share < 1 else lines
+        found = low.orderBy("h", "line").limit(wanted).select(window.alias("line")).collect()
+        if len(found) == wanted or share >= 1:
+            return [r.line for r in found]
+        share *= 8
+
+
 def scanned(docs: DataFrame, background: int = BACKGROUND) -> DataFrame:
     """(doc_id, line, family, probability, contained, text) of every licence statement in `docs` (doc_id, text).
 
@@ -283,11 +301,7 @@ def scanned(docs: DataFrame, background: int = BACKGROUND) -> DataFrame:
     The classifier learns from the templates and from at most `background` lines of the corpus, those of least hash, of each at most
     EXAMPLE words (the bounds of the sample), without those that hold a template.
     """
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).where(F.trim("line") != "")
-    sample = lines.select("line", F.xxhash64("line").alias("h")).orderBy("h", "line").limit(background)
-    words = F.split(F.trim("line"), "\\s+")
-    window = F.array_join(F.slice(words, (F.pmod(F.col("h"), F.greatest(F.size(words) - EXAMPLE, F.lit(0)) + 1) + 1).cast("int"), EXAMPLE), " ")
-    model = trained([r.line for r in sample.select(window.alias("line")).collect()])
+    model = trained(_background(docs, background))
 
     def work(batches):
         for batch in batches:
