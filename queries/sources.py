@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from queries.base import ITEMS_SQL, items, query, table
 from tilewright import vocab as V
 from tilewright.functions import geodesy as G, polygons as P, scalars as S
-from tilewright.operators import windows as D
+from tilewright.operators import overlay as O, windows as D
 from tilewright.plans import layers as L
 from tilewright.sources import catalogue as C, registry as R, vectors as X
 from tilewright.sources.registry_rows import RULES, SOURCES
@@ -329,6 +329,58 @@ def lines_clipped(spark, sf_dir):
     return X.clip_lines(lines, box).select("id", F.round(P.line_length(F.col("pieces")), 4).alias("length"))
 
 
+# diamonds with a diamond of half the size cut out, one per supplier
+_DIAMOND_SQL = "d AS (SELECT s_suppkey AS area_id, CAST((s_suppkey * 37) % 150 - 75 AS DOUBLE) AS cx, CAST((s_suppkey * 23) % 90 - 45 AS DOUBLE) AS cy, CAST(s_suppkey % 9 + 2 AS DOUBLE) AS r FROM supplier)"
+
+
+def _diamonds(spark, sf_dir):
+    k = F.col("s_suppkey")
+    at = lambda f, a, b: F.struct(((k * 37) % 150 - 75 + (k % 9 + 2) * f * a).cast("double").alias("x"), ((k * 23) % 90 - 45 + (k % 9 + 2) * f * b).cast("double").alias("y"))
+    ring = lambda f: F.array(*[at(f, a, b) for a, b in ((1, 0), (0, 1), (-1, 0), (0, -1), (1, 0))])
+    return table(spark, sf_dir, "supplier").select(k.alias("area_id"), F.array(F.array(ring(1.0), ring(0.5))).alias("parts"))
+
+
+@query("s8_g9_lines_in_areas", f"""WITH {_DIAMOND_SQL},
+k AS (SELECT o_orderkey AS id, CAST(o_orderkey % 160 - 80 AS DOUBLE) + 0.37 AS ax, CAST(o_custkey % 100 - 50 AS DOUBLE) + 0.45 AS ay, CAST((o_orderkey * 7) % 17 - 8 AS DOUBLE) AS dx, CAST((o_custkey * 11) % 13 - 6 AS DOUBLE) AS dy FROM orders),
+-- a diamond is a box in x + y and x - y; the hole's stretch is taken from the whole one's
+s AS (SELECT area_id, id, f, sqrt(dx * dx + dy * dy) AS len, ax + ay - cx - cy AS u, ax - ay - cx + cy AS v, dx + dy AS du, dx - dy AS dv, r * abs(f) AS q FROM k
+ JOIN d ON abs(ax + dx / 2 - cx) <= r + abs(dx) / 2 AND abs(ay + dy / 2 - cy) <= r + abs(dy) / 2 CROSS JOIN (VALUES (1.0::DOUBLE), (-0.5::DOUBLE)) h(f)),
+t AS (SELECT *, greatest(0, CASE WHEN du <> 0 THEN least((-q - u) / du, (q - u) / du) ELSE 0 END, CASE WHEN dv <> 0 THEN least((-q - v) / dv, (q - v) / dv) ELSE 0 END) AS t0,
+ least(1, CASE WHEN du <> 0 THEN greatest((-q - u) / du, (q - u) / du) ELSE 1 END, CASE WHEN dv <> 0 THEN greatest((-q - v) / dv, (q - v) / dv) ELSE 1 END) AS t1,
+ (du <> 0 OR abs(u) <= q) AND (dv <> 0 OR abs(v) <= q) AS ok FROM s),
+n AS (SELECT area_id, id, sum(CASE WHEN ok AND t0 < t1 THEN sign(f) * (t1 - t0) * len ELSE 0 END) AS l FROM t GROUP BY 1, 2)
+SELECT area_id, CAST(count(*) AS BIGINT) AS n_lines, round(sum(l), 3) AS length FROM n WHERE l > 1e-9 GROUP BY 1""")
+def lines_in_areas(spark, sf_dir):
+    """Lines cut to areas with holes: number of lines and length inside each."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    pt = lambda x, y: F.struct((x + 0.37).alias("x"), (y + 0.45).alias("y"))
+    x, y = (o % 160 - 80).cast("double"), (c % 100 - 50).cast("double")
+    lines = table(spark, sf_dir, "orders").select(o.alias("feature_id"), F.array(pt(x, y), pt(x + (o * 7) % 17 - 8, y + (c * 11) % 13 - 6)).alias("line"))
+    pieces = O.clip_lines(lines, _diamonds(spark, sf_dir), 2.0)
+    own = pieces.groupBy("area_id", "feature_id").agg(F.sum(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))).alias("l"))
+    return own.groupBy("area_id").agg(F.count("*").alias("n_lines"), F.round(F.sum("l"), 3).alias("length"))
+
+
+@query("s8_g8_g11_polygons_in_areas", f"""WITH {_DIAMOND_SQL},
+b AS (SELECT c_custkey AS feature_id, CAST((c_custkey * 13) % 160 - 80 AS DOUBLE) + 0.3 AS x0, CAST((c_custkey * 7) % 100 - 50 AS DOUBLE) + 0.4 AS y0, CAST(1 + c_custkey % 5 AS DOUBLE) AS w, CAST(1 + c_custkey % 4 AS DOUBLE) AS h FROM customer),
+p AS (SELECT feature_id, area_id, x0 - cx AS x0, x0 + w - cx AS x1, y0 - cy AS y0, y0 + h - cy AS y1, r * abs(f) AS r, sign(f) AS f FROM b
+ JOIN d ON x0 < cx + r AND x0 + w > cx - r AND y0 < cy + r AND y0 + h > cy - r CROSS JOIN (VALUES (1.0::DOUBLE), (-0.5::DOUBLE)) g(f)),
+-- the shared height is linear in x between these places
+m AS (SELECT *, list_sort(list_distinct(list_filter([x0, x1, 0, r, -r, r - y1, y1 - r, r + y1, -r - y1, r - y0, y0 - r, r + y0, -r - y0], lambda x: x >= x0 AND x <= x1))) AS l FROM p),
+z AS (SELECT feature_id, area_id, r, f, y0, y1, unnest(l[1:-2]) AS a, unnest(l[2:]) AS b FROM m),
+e AS (SELECT feature_id, area_id, f * (b - a) * greatest(0, least(y1, r - abs((a + b) / 2)) - greatest(y0, abs((a + b) / 2) - r)) AS s FROM z)
+SELECT feature_id, area_id, round(sum(s), 4) AS shared FROM e GROUP BY 1, 2 HAVING sum(s) > 1e-6""")
+def polygons_in_areas(spark, sf_dir):
+    """Polygons cut to areas with holes: what each pair shares."""
+    k = F.col("c_custkey")
+    x, y, w, h = ((k * 13) % 160 - 80).cast("double") + 0.3, ((k * 7) % 100 - 50).cast("double") + 0.4, (k % 5 + 1).cast("double"), (k % 4 + 1).cast("double")
+    pt = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    ring = F.array(pt(x, y), pt(x, y + h), pt(x + w, y + h), pt(x + w, y), pt(x, y))
+    boxes = table(spark, sf_dir, "customer").select(k.alias("feature_id"), F.array(F.array(ring)).alias("parts"))
+    shared = O.shared_areas(O.clip_polygons(boxes, _diamonds(spark, sf_dir), 2.0))
+    return shared.select("feature_id", "area_id", F.round("shared", 4).alias("shared"))
+
+
 _EA = "6378137.0 * (cos(radians(30)) / sqrt(1 - power(0.0818191908426215 * sin(radians(30)), 2)))"
 
 

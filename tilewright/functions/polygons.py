@@ -37,13 +37,35 @@ def rings_of(kind: Column, coordinates: Column) -> Column:
     return F.transform(F.coalesce(one, many), lambda ring: F.transform(ring, lambda c: F.struct(F.get(c, F.lit(0)).alias("x"), F.get(c, F.lit(1)).alias("y"))))
 
 
+def parts_of(kind: Column, coordinates: Column) -> Column:
+    """Parts of a Polygon or MultiPolygon from the JSON text of its coordinates, each an array of rings, the outer one first."""
+    one = F.when(kind == "Polygon", F.array(F.from_json(coordinates, "array<array<array<double>>>")))
+    many = F.when(kind == "MultiPolygon", F.from_json(coordinates, "array<array<array<array<double>>>>"))
+    return F.transform(F.coalesce(one, many), lambda part: F.transform(part, lambda ring: F.transform(
+        ring, lambda c: F.struct(F.get(c, F.lit(0)).alias("x"), F.get(c, F.lit(1)).alias("y")))))
+
+
+def turning(ring: Column) -> Column:
+    """Twice the signed surface of a closed ring: above 0 if it runs to the left."""
+    return F.aggregate(ring_edges(ring), F.lit(0.0), lambda acc, e: acc + e["ax"] * e["by"] - e["bx"] * e["ay"])
+
+
+def oriented_edges(parts: Column) -> Column:
+    """Edges of all rings with the inside on their left: outer rings run to the left, holes to the right."""
+    def edges(ring, i):
+        return ring_edges(F.when((turning(ring) > 0) == (i == 0), ring).otherwise(F.reverse(ring)))
+    return F.flatten(F.transform(parts, lambda part: F.flatten(F.transform(part, edges))))
+
+
 def rings_edges(rings: Column) -> Column:
     """Edges of all rings of an area."""
     return F.flatten(F.transform(rings, ring_edges))
 
 
 def ring_edges(ring: Column) -> Column:
-    return F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1),
+    """Edges between neighbouring points; none for fewer than two points."""
+    n = F.greatest(F.size(ring) - 1, F.lit(0))
+    return F.zip_with(F.slice(ring, 1, n), F.slice(ring, 2, n),
                       lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))
 
 

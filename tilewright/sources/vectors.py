@@ -12,12 +12,13 @@ RING = "array<struct<x:double,y:double>>"
 
 def read_collection(spark: SparkSession, path: str) -> DataFrame:
     """Polygon and MultiPolygon features of GeoJSON collections, one row per feature, attributes as a map; `rings` holds all
-    rings, `ring` the first."""
+    rings, `ring` the first, `parts` the rings of each part."""
     schema = """features ARRAY<STRUCT<properties:MAP<STRING,STRING>,geometry:STRUCT<type:STRING,coordinates:STRING>>>"""
     raw = spark.read.schema(schema).option("multiLine", True).json(path)
     f = raw.select(F.explode("features").alias("f")).select("f.properties", F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("c"))
     rings = P.rings_of(F.col("geometry_type"), F.col("c"))
-    return f.select("properties", "geometry_type", rings.alias("rings")).withColumn("ring", F.get("rings", F.lit(0)))
+    parts = P.parts_of(F.col("geometry_type"), F.col("c"))
+    return f.select("properties", "geometry_type", rings.alias("rings"), parts.alias("parts")).withColumn("ring", F.get("rings", F.lit(0)))
 
 
 def to_ring(coordinates: Column) -> Column:
@@ -44,17 +45,22 @@ def map_elements(elements: DataFrame, geometry: str) -> DataFrame:
 
 
 def area_squares(areas: DataFrame, cell: float) -> DataFrame:
-    """Grid squares that an area touches: area_id, gx, gy, and `edges` of the ring where the square is not wholly inside.
+    """Grid squares that an area touches: area_id, gx, gy, and `edges` of its border where the square is not wholly inside.
 
-    A square that no edge crosses is wholly inside or outside by its centre; outside ones are left out.
+    areas: area_id, and rings (parts and holes) or ring.  A square that no edge crosses is wholly inside or outside by its
+    centre; outside ones are left out, and areas without points have none.
     """
-    xs, ys = F.transform("ring", lambda c: c["x"]), F.transform("ring", lambda c: c["y"])
+    if "rings" not in areas.columns:
+        areas = areas.withColumn("rings", F.array("ring"))
+    points = F.flatten("rings")
+    areas = areas.where(F.size(points) > 0)
+    xs, ys = F.transform(points, lambda c: c["x"]), F.transform(points, lambda c: c["y"])
     g = lambda v: F.floor(v / cell).cast("int")
     spread = (areas.withColumn("gx", F.explode(F.sequence(g(F.array_min(xs)), g(F.array_max(xs)))))
               .withColumn("gy", F.explode(F.sequence(g(F.array_min(ys)), g(F.array_max(ys))))))
     lo_x, lo_y = F.col("gx") * F.lit(cell) - P.TOLERANCE, F.col("gy") * F.lit(cell) - P.TOLERANCE
     hi_x, hi_y = lo_x + (cell + 2 * P.TOLERANCE), lo_y + (cell + 2 * P.TOLERANCE)
-    with_edges = spread.select("area_id", "gx", "gy", P.ring_edges(F.col("ring")).alias("edges"), lo_x.alias("lo_x"), lo_y.alias("lo_y"), hi_x.alias("hi_x"), hi_y.alias("hi_y"))
+    with_edges = spread.select("area_id", "gx", "gy", P.rings_edges(F.col("rings")).alias("edges"), lo_x.alias("lo_x"), lo_y.alias("lo_y"), hi_x.alias("hi_x"), hi_y.alias("hi_y"))
     crossed = F.exists("edges", lambda e: P.edge_meets_box(e, F.col("lo_x"), F.col("lo_y"), F.col("hi_x"), F.col("hi_y")))
     marked = with_edges.withColumn("crossed", crossed).withColumn(
         "inside", P.point_in_edges((F.col("gx") + 0.5) * cell, (F.col("gy") + 0.5) * cell, F.col("edges")))
@@ -66,7 +72,7 @@ def area_squares(areas: DataFrame, cell: float) -> DataFrame:
 def clip_points(points: DataFrame, areas: DataFrame, cell: float) -> DataFrame:
     """Points inside areas, by an equi-join on grid squares; only squares on an area's edge need the ring test.
 
-    areas: area_id, ring.
+    areas: area_id, and ring or rings (parts and holes).
     """
     g = lambda v: F.floor(F.col(v) / cell).cast("int")
     placed = points.withColumn("gx", g("x")).withColumn("gy", g("y"))
@@ -75,7 +81,7 @@ def clip_points(points: DataFrame, areas: DataFrame, cell: float) -> DataFrame:
 
 
 def count_points(points: DataFrame, areas: DataFrame, cell: float) -> DataFrame:
-    """Number of points and smallest key inside each area.  points: key, x, y; areas: area_id, ring.
+    """Number of points and smallest key inside each area.  points: key, x, y; areas: area_id, and ring or rings.
 
     Points of one place are added up before they meet an area, and squares wholly inside an area take their points' sums, so
     only places in squares on an area's edge are paired with it one by one.
